@@ -8,7 +8,7 @@ ratio of each automaton against a bigram model of ordinary strings; a format's
 threshold lies between its held-out examples and held-out ordinary strings.
 
 Formats without a literal mark (hex and base64 of some length) count only after a word
-such as "token" or "key" with an assignment sign.  Candidates are maximal runs of
+such as "token", "key" or "password" with an assignment sign.  Candidates are maximal runs of
 letters, digits and _-+/. of at least SHORTEST characters, and their pieces between
 slashes and dots; a run longer than an automaton is deep cannot match it.  Overlapping
 finds: the first of the longest stays.  Null and empty texts have no finds.  Rows that
@@ -36,7 +36,7 @@ RUN = re.compile(r"[A-Za-z0-9_+/.\-]{%d,}={0,2}" % SHORTEST)
 KEYED = re.compile(r"(?i)(?:token|secret|key|passw(?:or)?d|pwd|auth|credential|bearer)[\w\-]{0,20}[\"']?\s{0,3}(?:[:=]|:=|=>)\s{0,3}[\"'`]?$")
 CONTEXT = 48
 _UP, _LOW, _DIG = string.ascii_uppercase, string.ascii_lowercase, string.digits
-GENERIC = {"hex32", "hex40", "hex64", "base64_40"}
+GENERIC = {"hex_short", "hex32", "hex40", "hex64", "base64_40"}
 
 
 def labelled(n: int = EXAMPLES, seed: int = SEED) -> dict[str, list[str]]:
@@ -46,6 +46,7 @@ def labelled(n: int = EXAMPLES, seed: int = SEED) -> dict[str, list[str]]:
     pick = lambda *x: x[rng.integers(0, len(x))]
     alnum, url = _UP + _LOW + _DIG, _UP + _LOW + _DIG + "-_"
     hexa = _DIG + "abcdef"
+    hexes = lambda k: pick(str.lower, str.upper)(some(hexa, k))
     syllables = "th er on an re ing ed en at ou st nd sch ein ver qui ment tion la el ci os ra de com io al is".split()
     word = lambda a, b: "".join(syllables[i] for i in rng.integers(0, len(syllables), rng.integers(a, b)))
     ordinary = (
@@ -66,9 +67,10 @@ def labelled(n: int = EXAMPLES, seed: int = SEED) -> dict[str, list[str]]:
         "google_api_key": lambda: "AIza" + some(url, 35),
         "npm_token": lambda: "npm_" + some(alnum, 36),
         "jwt": lambda: "eyJ" + some(url, rng.integers(17, 40)) + ".eyJ" + some(url, rng.integers(20, 80)) + "." + some(url, 43),
-        "hex32": lambda: some(hexa, 32),
-        "hex40": lambda: some(hexa, 40),
-        "hex64": lambda: some(hexa, 64),
+        "hex_short": lambda: hexes(rng.integers(16, 32)),
+        "hex32": lambda: hexes(32),
+        "hex40": lambda: hexes(40),
+        "hex64": lambda: hexes(64),
         "base64_40": lambda: some(alnum + "+/", 40),
     }
     return {name: [make() for _ in range(n)] for name, make in formats.items()} | {"": [ordinary[i % len(ordinary)]() for i in range(2 * n)]}
