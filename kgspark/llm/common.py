@@ -34,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder's URI with its scheme, as Spark's default file system has it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read from there; survives the loss of executors."""
     shared_dir(df.sparkSession)

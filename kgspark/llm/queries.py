@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_secrets, op6_mixing, op7_decontaminate, op9_simhash, op10_toxicity
+from . import op1_secrets, op2_pii, op3_warc, op4_repetition, op6_mixing, op7_decontaminate, op8_tokens, op9_simhash, op10_toxicity
 from .common import table
 
 
@@ -15,6 +15,18 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_pii.scan(table(spark, sf_dir, "documents"))
+
+
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_repetition.measures(table(spark, sf_dir, "documents")).where("keep").drop("keep")
+
+
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_mixing.mix(table(spark, sf_dir, "documents")).drop("text")
 
@@ -24,6 +36,10 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("char_start", "char_end")
 
 
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_tokens.sections(table(spark, sf_dir, "documents"))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_simhash.removed(table(spark, sf_dir, "documents")).select("doc_id", "duplicate_of", "group_size", "n_rows")
 
@@ -35,12 +51,18 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets,
+    "op2_pii": pii,
+    "op3_warc": warc,
+    "op4_repetition": repetition,
     "op6_mixing": mixing,
     "op7_decontaminate": decontaminate,
+    "op8_tokens": tokens,
     "op9_simhash": near_duplicates,
     "op10_toxicity": toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": op3_warc.ROUND_TRIP_SQL,
+    "op4_repetition": op4_repetition.KEPT_SQL,
     "op6_mixing": op6_mixing.MIX_SQL,
     "op7_decontaminate": op7_decontaminate.SPANS_SQL,
 }

@@ -57,6 +57,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+def window_hash(sums: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-word windows that begin at these words."""
+    return mix((sums[at + n] - sums[at]) * powers(_WORD_INV, len(sums))[at] + U64(n))
+
+
 @dataclass
 class Words:
     """Words of several texts; spans count characters from the text's own beginning."""
@@ -69,15 +74,19 @@ class Words:
     first: np.ndarray  # per text: index of its first word; one more at the end
     prefix: np.ndarray | None = None  # hash of the first characters of the word
 
+    def sums(self) -> np.ndarray:
+        """Prefix sums from which window_hash() takes the hash of any window."""
+        sums = np.zeros(len(self.hash) + 1, U64)
+        np.cumsum(self.hash * powers(_WORD_P, len(self.hash)), out=sums[1:])
+        return sums
+
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the first words of all n-word windows, and the windows' hashes."""
         k = len(self.hash)
         if k < n:
             return np.zeros(0, np.int64), np.zeros(0, U64)
-        sums = np.zeros(k + 1, U64)
-        np.cumsum(self.hash * powers(_WORD_P, k), out=sums[1:])
         at = np.flatnonzero(self.doc[: k - n + 1] == self.doc[n - 1 :])
-        return at, mix((sums[at + n] - sums[at]) * powers(_WORD_INV, k)[at] + U64(n))
+        return at, window_hash(self.sums(), at, n)
 
 
 def tokenize(texts: list[str], prefix: int = 0) -> Words:
