@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_secrets, op2_pii, op3_warc, op4_repetition, op6_mixing, op7_decontaminate, op8_tokens, op9_simhash, op10_toxicity
+from . import op1_secrets, op2_pii, op3_warc, op4_repetition, op5_substrings, op6_mixing, op7_decontaminate, op8_tokens, op9_simhash, op10_toxicity
 from .common import table
 
 
@@ -27,6 +27,10 @@ def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_repetition.measures(table(spark, sf_dir, "documents")).where("keep").drop("keep")
 
 
+def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_substrings.spans(table(spark, sf_dir, "documents"))
+
+
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_mixing.mix(table(spark, sf_dir, "documents")).drop("text")
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": pii,
     "op3_warc": warc,
     "op4_repetition": repetition,
+    "op5_substrings": substrings,
     "op6_mixing": mixing,
     "op7_decontaminate": decontaminate,
     "op8_tokens": tokens,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": op3_warc.ROUND_TRIP_SQL,
     "op4_repetition": op4_repetition.KEPT_SQL,
+    "op5_substrings": op5_substrings.SPANS_SQL,
     "op6_mixing": op6_mixing.MIX_SQL,
     "op7_decontaminate": op7_decontaminate.SPANS_SQL,
 }
