@@ -222,6 +222,11 @@ def year(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, LEFT + r"(1\d{3}|20[0-2]\d)" + RIGHT, 1), F.lit("")).cast("int")
 
 
+def millis(time: Column) -> Column:
+    """Milliseconds since 1970 of a timestamp, with or without a time zone."""
+    return F.unix_millis(time.cast("timestamp"))
+
+
 CONFLICT = "|".join(
     [
         LEFT + r"not\s+(?:the|an?)\s",
