@@ -78,8 +78,8 @@ def _order(epoch: Column, doc_id: Column, seed: str) -> Column:
 
 
 def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The documents' columns, then mix_domain, mix_epoch and mix_tokens; a document has a row for each epoch that takes it."""
-    keyed = _keyed(docs)
+    """The documents' columns, then mix_domain, mix_epoch and mix_tokens (in place of columns of these names); a document has a row for each epoch that takes it."""
+    keyed = _keyed(docs.drop("mix_domain", "mix_epoch", "mix_tokens"))
     counts = checkpoint(keyed.groupBy(*TREE).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
     plan = budgets(counts, share, max_epochs).withColumn("epochs", F.floor(F.col("budget") / F.col("tokens"))).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
     # the hash's first digits cut a leaf's last epoch into slots: about one for each 64 documents

@@ -1,0 +1,52 @@
+import pytest
+from kgspark.llm import op1_secrets as op
+
+
+def test_held_out_credentials_are_found():
+    sc = op.scanner()
+    for name, examples in op.labelled(60, seed=77).items():
+        if not name:
+            continue
+        texts = [f'before token = "{e}" behind' for e in examples]
+        found = {x[0] for x in op.finds(texts, sc) if x[3] == name or name in op.GENERIC}
+        assert len(found) >= 0.95 * len(texts), name
+
+
+def test_ordinary_strings_are_left_alone():
+    sc = op.scanner()
+    plain = op.labelled(400, seed=78)[""]
+    assert len(op.finds([f"see {p} there" for p in plain], sc)) <= 0.01 * len(plain)
+
+
+def test_generic_formats_need_a_key():
+    sc = op.scanner()
+    value = "0123456789abcdef0123456789abcdef01234567"
+    assert not op.finds([f"commit {value} merged"], sc)
+    assert [x[1:4] for x in op.finds([f"password={value}"], sc)] == [(9, 49, "hex40")]
+
+
+def test_likelihood_is_the_product_of_the_arcs():
+    a = op.infer(["ab", "ab", "ac", "b"])
+    m, sizes = op._matrix(["ab", "b", "abcdef"])
+    got = op.likelihood(a, m, sizes)
+    for k, text in enumerate(["ab", "b"]):
+        state, total = 0, 0.0
+        for c in [*text.encode(), op.END]:
+            total += a.logp[state, c]
+            state = a.next[state, c] if c != op.END else 0
+        assert got[k] == pytest.approx(total)
+    assert got[2] == -float("inf")
+
+
+def test_odd_rows(odd):
+    assert op.scan(odd).count() == 0
+    out = op.redact(odd)
+    assert out.columns == odd.columns and out.count() == odd.count()
+
+
+def test_redaction_and_empty(table, spark):
+    docs = table([(1, "key AKIA" + "ABCD2345" * 2 + " end"), (1, "key AKIA" + "ABCD2345" * 2 + " end"), (2, None)], clashes=True)
+    rows = op.redact(docs).collect()
+    assert sum(r.text == "key [SECRET:aws_access_key_id] end" and r.n_chars == len(r.text) for r in rows) == 2
+    assert op.scan(docs).count() == 2
+    assert op.scan(docs.limit(0)).count() == 0 == op.redact(docs.limit(0)).count()
