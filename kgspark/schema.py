@@ -7,13 +7,22 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-NODES = T.StructType.fromDDL(
-    "node_id string, ord bigint, file string, section string, type string, content string, content_hash string, entities array<string>, "
-    "links array<string>, parent string, metadata map<string,string>, level int, confidence double, created_at timestamp, last_accessed_at timestamp, "
-    "access_count bigint, valid_until timestamp"
+_KINDS: dict[str, T.DataType] = {
+    "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "time": T.TimestampType(),
+    "list": T.ArrayType(T.StringType()), "map": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split(":") for c in columns.split())])
+
+
+NODES = _schema(
+    "node_id:string ord:long file:string section:string type:string content:string content_hash:string entities:list links:list parent:string "
+    "metadata:map level:int confidence:double created_at:time last_accessed_at:time access_count:long valid_until:time"
 )
-DIRECTED = T.StructType.fromDDL("src string, dst string, type string, weight double, evidence string, ord bigint")
-UNDIRECTED = T.StructType.fromDDL("a string, b string, type string, weight double, ord bigint")
+DIRECTED = _schema("src:string dst:string type:string weight:double evidence:string ord:long")
+UNDIRECTED = _schema("a:string b:string type:string weight:double ord:long")
 
 STRUCTURAL = ("document", "section")
 NODE_TYPES = (
