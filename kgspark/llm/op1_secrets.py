@@ -2,16 +2,17 @@
 
 For each credential format a prefix tree of labelled examples becomes an acyclic
 probabilistic automaton: level by level, states whose next-symbol distributions agree
-within Hoeffding bounds are merged.  Levels are kept apart, so an automaton knows how
-long its format is.  All candidate strings of all texts are scored by the likelihood
-ratio of each automaton against a bigram model of ordinary strings; a format's
-threshold lies between its held-out examples and held-out ordinary strings.
-
-Formats without a literal mark (hex and base64 of some length) count only after a word
+within Hoeffding bounds are merged.  For formats of fixed length levels are kept apart, so
+an automaton knows how long its format is.  Formats of open length (OPEN) keep apart only
+the levels before the first that may end a part; the ones from there are a loop, so strings
+of any length match, but only of symbols that were seen there.  All candidate strings of all
+texts are scored by the likelihood ratio of each automaton against a bigram model of ordinary
+strings; a format's threshold lies between its held-out examples and held-out ordinary strings.
+
+Formats without a literal mark (hex and base64) count only after a word
 such as "token", "key" or "password" with an assignment sign.  Candidates are maximal runs of
 letters, digits and _-+/. of at least SHORTEST characters, and their pieces between
-slashes and dots; a run longer than an automaton is deep cannot match it.  Overlapping
-finds: the first of the longest stays.  Null and empty texts have no finds.  Rows that
+slashes and dots, of any length.  Overlapping finds: the first of the longest stays.  Null and empty texts have no finds.  Rows that
 repeat are each scanned.  Offsets count characters.
 """
 
@@ -19,9 +20,11 @@ from __future__ import annotations
 
 import re
 import string
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,10 @@ RUN = re.compile(r"[A-Za-z0-9_+/.\-]{%d,}={0,2}" % SHORTEST)
 KEYED = re.compile(r"(?i)(?:token|secret|key|passw(?:or)?d|pwd|auth|credential|bearer)[\w\-]{0,20}[\"']?\s{0,3}(?:[:=]|:=|=>)\s{0,3}[\"'`]?$")
 CONTEXT = 48
 _UP, _LOW, _DIG = string.ascii_uppercase, string.ascii_lowercase, string.digits
-GENERIC = {"hex_short", "hex32", "hex40", "hex64", "base64_40"}
+GENERIC = {"hex_short", "hex32", "hex40", "hex64", "base64_40", "hex", "base64"}
+OPEN = {"jwt", "hex", "base64"}
+MARKS = (ord("."), ord("="))  # end a part of a format of open length
+LONG = 256  # longer strings are scored one by one, shorter ones in matrices
 
 
 def labelled(n: int = EXAMPLES, seed: int = SEED) -> dict[str, list[str]]:
@@ -73,7 +79,12 @@ def labelled(n: int = EXAMPLES, seed: int = SEED) -> dict[str, list[str]]:
         "hex64": lambda: hexes(64),
         "base64_40": lambda: some(alnum + "+/", 40),
     }
-    return {name: [make() for _ in range(n)] for name, make in formats.items()} | {"": [ordinary[i % len(ordinary)]() for i in range(2 * n)]}
+    out = {name: [make() for _ in range(n)] for name, make in formats.items()} | {"": [ordinary[i % len(ordinary)]() for i in range(2 * n)]}
+    # every other JWT has a payload and signature of other lengths
+    out["jwt"][::2] = ["eyJ" + some(url, rng.integers(17, 40)) + ".eyJ" + some(url, rng.integers(6, 80)) + "." + some(url, pick(43, 64, 86, 342)) for _ in out["jwt"][::2]]
+    out["hex"] = [hexes(rng.integers(16, 129)) for _ in range(n)]
+    out["base64"] = [some(alnum + "+/", rng.integers(16, 129)) + pick("", "=", "==") for _ in range(n)]
+    return out
 
 
 @dataclass
@@ -135,6 +146,47 @@ def infer(examples: list[str], alpha: float = ALPHA, smooth: float = SMOOTH) ->
     return Automaton(np.concatenate(nexts), logp, depth)
 
 
+def infer_open(examples: list[str], alpha: float = ALPHA) -> Automaton:
+    """The automaton of a format of open length; what was not seen in a state is impossible there."""
+    counts: dict[tuple[int, int], np.ndarray] = {}  # by marks before and level behind the last of them
+    for e in examples:
+        part = level = 0
+        for c in [*e.encode("ascii"), END]:
+            counts.setdefault((part, level), np.zeros(SYMBOLS + 1))[c] += 1
+            part, level = (part + 1, 0) if c in MARKS else (part, level + 1)
+    bound = np.sqrt(0.5 * np.log(2 / alpha))
+    exits = np.isin(np.arange(SYMBOLS + 1), [*MARKS, END])
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        n, k = x.sum(), y.sum()
+        return bool(n and k and (np.abs(x / n - y / k) < bound * (n**-0.5 + k**-0.5)).all())
+
+    states: list[list] = []  # part, symbols and ends counted, group of its symbols
+    pools: list[tuple[int, np.ndarray]] = []  # part and symbols counted in all compatible levels of it
+    for part, level in sorted(counts):
+        ends, letters = np.where(exits, counts[part, level], 0), np.where(exits, 0, counts[part, level])
+        last = states[-1] if states and states[-1][0] == part else None
+        if last and last[2].any() and (not letters.any() or alike(pools[last[3]][1], letters)):
+            last[1], last[2] = last[1] + letters, last[2] + ends
+            pools[last[3]] = part, pools[last[3]][1] + letters
+            continue
+        group = next((g for g in range(len(pools) - 1, -1, -1) if pools[g][0] == part and alike(pools[g][1], letters)), len(pools))
+        if group == len(pools):
+            pools.append((part, letters))
+        else:
+            pools[group] = part, pools[group][1] + letters
+        states.append([part, letters, ends, group])
+    parts = [s[0] for s in states]
+    following, p = np.zeros((len(states), SYMBOLS), np.int64), np.zeros((len(states), SYMBOLS + 1))
+    for i, (part, letters, ends, group) in enumerate(states):
+        total, pool = letters.sum() + ends.sum(), pools[group][1]
+        p[i] = ends / total + (letters.sum() / total * pool / pool.sum() if letters.any() else 0)
+        following[i] = i + 1 if i + 1 < len(states) and parts[i + 1] == part else i
+        following[i, list(MARKS)] = parts.index(part + 1) if part + 1 in parts else i
+    with np.errstate(divide="ignore"):
+        return Automaton(following, np.log(p), sys.maxsize)
+
+
 @dataclass
 class Scanner:
     names: list[str]
@@ -174,6 +226,24 @@ def ratios(sc: Scanner, texts: list[str]) -> np.ndarray:
     return np.stack([likelihood(a, m, sizes) - background for a in sc.automata], axis=1)
 
 
+def prefix_ratios(sc: Scanner, text: str, ends: list[int]) -> np.ndarray:
+    """ratios() of the prefixes of one text that have these lengths, in one pass an automaton."""
+    codes = np.frombuffer(text.encode("ascii"), np.uint8).astype(np.int64)
+    before = np.concatenate([[END], codes])
+    background = np.concatenate([[0.0], np.cumsum(sc.bigram[before[:-1], codes])]) + sc.bigram[before, END]
+    out = np.full((len(ends), len(sc.automata)), -np.inf)
+    for k, a in enumerate(sc.automata):
+        state, total, got = 0, 0.0, np.full(len(codes) + 1, -np.inf)
+        logp, following = a.logp.tolist(), a.next.tolist()
+        for at, s in enumerate([*codes[: a.depth].tolist(), END]):
+            got[at] = total + logp[state][END]
+            if s == END or (total := total + logp[state][s]) == -np.inf:
+                break
+            state = following[state][s]
+        out[:, k] = got[ends] - background[ends]
+    return out
+
+
 @cache
 def scanner(n: int = EXAMPLES, seed: int = SEED) -> Scanner:
     """Automata of three quarters of the examples, thresholds of the rest; made once in a process."""
@@ -184,7 +254,7 @@ def scanner(n: int = EXAMPLES, seed: int = SEED) -> Scanner:
     for t in cut(plain)[0]:
         codes = [END, *t.encode("ascii"), END]
         np.add.at(table, (codes[:-1], codes[1:]), 1)
-    sc = Scanner(list(examples), [infer(cut(x)[0]) for x in examples.values()], np.log(table / table.sum(axis=1, keepdims=True)), np.zeros(0))
+    sc = Scanner(list(examples), [(infer_open if name in OPEN else infer)(cut(x)[0]) for name, x in examples.items()], np.log(table / table.sum(axis=1, keepdims=True)), np.zeros(0))
     rejected = ratios(sc, cut(plain)[1]).max(axis=0)
     lowest = lambda r: np.quantile(r[np.isfinite(r)], 0.005)
     accepted = np.array([lowest(ratios(sc, cut(x)[1])[:, k]) for k, x in enumerate(examples.values())])
@@ -211,19 +281,25 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 def finds(texts: list[str | None], sc: Scanner) -> list[tuple[int, int, int, str, float, bool]]:
     """(text, start, end, format, score, keyed) of what counts as a credential, in order."""
-    deepest = max(a.depth for a in sc.automata)
-    spots = [(i, a, b) for i, t in enumerate(texts) if t for a, b in candidates(t) if b - a <= deepest]
+    spots = [(i, a, b) for i, t in enumerate(texts) if t for a, b in candidates(t)]
+    short = [x for x in spots if x[2] - x[1] <= LONG]
+    long: dict[tuple[int, int], list[int]] = {}
+    for i, a, b in spots:
+        if b - a > LONG:
+            long.setdefault((i, a), []).append(b - a)
+    scored = ((short[p : p + 4096], None) for p in range(0, len(short), 4096))
+    scored = chain(scored, (([(i, a, a + n) for n in ends], prefix_ratios(sc, texts[i][a : a + max(ends)], ends)) for (i, a), ends in long.items()))
     out: list[tuple[int, int, int, str, float, bool]] = []
-    for p in range(0, len(spots), 4096):
-        part = spots[p : p + 4096]
-        ratio = ratios(sc, [texts[i][a:b] for i, a, b in part])
+    for part, ratio in scored:
+        if ratio is None:
+            ratio = ratios(sc, [texts[i][a:b] for i, a, b in part])
         over_by = ratio - sc.thresholds
         for k in np.flatnonzero((over_by >= 0).any(axis=1)):
             i, a, b = part[k]
             keyed = bool(KEYED.search(texts[i][max(0, a - CONTEXT) : a]))
             allowed = [f for f in np.flatnonzero(over_by[k] >= 0) if keyed or sc.names[f] not in GENERIC]
             if allowed:
-                f = max(allowed, key=lambda f: (ratio[k, f], -f))
+                f = max(allowed, key=lambda f: (sc.names[f] not in OPEN, ratio[k, f], -f))  # one of known length first
                 out.append((i, a, b, sc.names[f], float(round(ratio[k, f] / (b - a), 4)), keyed))
     kept: list[tuple[int, int, int, str, float, bool]] = []
     for x in sorted(out, key=lambda x: (x[0], -(x[2] - x[1]), x[1])):

@@ -1,3 +1,7 @@
+import random
+import string
+
+import numpy as np
 import pytest
 from kgspark.llm import op1_secrets as op
 
@@ -50,3 +54,28 @@ def test_redaction_and_empty(table, spark):
     assert sum(r.text == "key [SECRET:aws_access_key_id] end" and r.n_chars == len(r.text) for r in rows) == 2
     assert op.scan(docs).count() == 2
     assert op.scan(docs.limit(0)).count() == 0 == op.redact(docs.limit(0)).count()
+
+
+def test_credentials_of_any_length():
+    sc = op.scanner()
+    rng = random.Random(4)
+    some = lambda n, letters=string.ascii_letters + string.digits: "".join(rng.choices(letters, k=n))
+    for payload, signature in ((150, 43), (150, 342), (1500, 683), (30000, 342)):
+        jwt = f"eyJ{some(33)}.eyJ{some(payload)}.{some(signature)}"
+        assert [x[1:4] for x in op.finds([f"see {jwt} there"], sc)] == [(4, 4 + len(jwt), "jwt")]
+    for n in (33, 39, 41, 63, 65, 128, 1000):
+        value = some(n, "0123456789abcdef")
+        assert [x[1:3] for x in op.finds([f"password={value}"], sc)] == [(9, 9 + n)], n
+        assert not op.finds([f"commit {value} merged"], sc)
+    for n in (24, 39, 41, 64, 88, 2000):
+        value = some(n, string.ascii_letters + string.digits + "+/")
+        assert [x[1:3] for x in op.finds([f'token = "A{value}z"'], sc)] == [(9, 11 + n)], n
+    blob = "eyJ" + some(5000, string.ascii_letters + string.digits + "+/")
+    assert "jwt" not in [x[3] for x in op.finds([f"see {blob} there"], sc)]
+
+
+def test_long_and_short_strings_score_alike():
+    sc = op.scanner()
+    texts = [e for x in op.labelled(20, seed=79).values() for e in x]
+    got = np.concatenate([op.prefix_ratios(sc, t + "x", [len(t)]) for t in texts])
+    assert np.allclose(got, op.ratios(sc, texts))
