@@ -11,8 +11,8 @@ strings; a format's threshold lies between its held-out examples and held-out or
 
 Formats without a literal mark (hex and base64) count only after a word
 such as "token", "key" or "password" with an assignment sign.  Candidates are maximal runs of
-letters, digits and _-+/. of at least SHORTEST characters, and their pieces between
-slashes and dots, of any length.  Overlapping finds: the first of the longest stays.  Null and empty texts have no finds.  Rows that
+letters, digits and _-+/. of at least SHORTEST characters, and their pieces between slashes
+and dots, also with a slash on one side and a dot on the other, of any length.  Overlapping finds: the first of the longest stays.  Null and empty texts have no finds.  Rows that
 repeat are each scanned.  Offsets count characters.
 """
 
@@ -263,6 +263,8 @@ def scanner(n: int = EXAMPLES, seed: int = SEED) -> Scanner:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans that a format can fill: runs, their pieces by "/", by "." and by both, three of the latter with
+    dots between (JWT), and behind a key the run's beginnings up to a separator, the first dot at the furthest (base64)."""
     out = []
     for m in RUN.finditer(text):
         a, b = m.span()
@@ -275,6 +277,15 @@ def candidates(text: str) -> list[tuple[int, int]]:
                 for piece in text[a:b].split(sign):
                     spans.add((at, at + len(piece)))
                     at += len(piece) + 1
+        cuts = [i for i in range(a, b) if text[i] in "/."]
+        places = [a - 1, *cuts, b]
+        spans |= {(x + 1, y) for x, y in zip(places, places[1:])}
+        spans |= {(x + 1, y) for x, p, q, y in zip(places, places[1:], places[2:], places[3:]) if text[p] == text[q] == "."}
+        if cuts and KEYED.search(text[max(0, a - CONTEXT) : a]):
+            for i in cuts:
+                spans.add((a, i))
+                if text[i] == ".":
+                    break
         out += sorted(s for s in spans if s[1] - s[0] >= SHORTEST)
     return out
 
