@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import string
 import sys
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -314,9 +315,10 @@ def finds(texts: list[str | None], sc: Scanner) -> list[tuple[int, int, int, str
                 out.append((i, a, b, sc.names[f], float(round(ratio[k, f] / (b - a), 4)), keyed))
     kept: list[tuple[int, int, int, str, float, bool]] = []
     for x in sorted(out, key=lambda x: (x[0], -(x[2] - x[1]), x[1])):
-        if all(y[0] != x[0] or y[2] <= x[1] or x[2] <= y[1] for y in kept[-64:]):
-            kept.append(x)
-    return sorted(kept)
+        k = bisect(kept, x[:2], key=lambda y: y[:2])  # kept ones are in order and do not overlap: only the neighbours can
+        if all(y[0] != x[0] or y[2] <= x[1] or x[2] <= y[1] for y in kept[max(0, k - 1) : k + 1]):
+            kept.insert(k, x)
+    return kept
 
 
 def scan(docs: DataFrame) -> DataFrame:

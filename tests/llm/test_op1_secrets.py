@@ -91,3 +91,14 @@ def test_pieces_between_slashes_and_dots():
             assert (a, a + len(value), name) in [x[1:4] for x in op.finds([text], sc)], text
     value = "Zq8/kT3vXw0RbN5/yLm7PfHs2CdGj9UeAoIt4BxK"
     assert [x[1:3] for x in op.finds([f"token={value}.Next"], sc)] == [(6, 6 + len(value))]
+
+
+def test_overlaps_are_resolved_among_many_finds():
+    sc = op.scanner()
+    head, tail = "Zq8rkT3vXw0RbN5cyLm7PfHs2CdGj9", "UeAoIt4BxKq7Wn1VzYs6MhRd3LgFp0TjC8kEu5Ob2Xa9Qi"
+    alone = op.finds([f"token={head} x"], sc)
+    assert [x[1:3] for x in alone] == [(6, 36)]
+    others = " ".join(op.labelled(100, seed=80)["github_token"])
+    found = op.finds([f"token={head}/{tail} {others}"], sc)
+    assert len(found) > 64 and found[0][1:3] == (6, 6 + len(head) + 1 + len(tail))
+    assert all(x[2] <= y[1] for x, y in zip(found, found[1:]))
