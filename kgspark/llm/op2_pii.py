@@ -5,9 +5,12 @@ a name's cue ("Dr.", "name:") with all their repetitions; other tokens are obser
 "outside".  A site's label is outside, or the beginning or inside of an entity of one kind.
 Potentials tie a site's features to its label, labels of neighbouring tokens to each other,
 and, by skip edges, the kinds of distant sites of one document that repeat or resemble each
-other: equal digits, equal address, equal word.  Each site is tied to the one before that
-resembles it, so a document of any length has few edges a site.  Loopy belief propagation
-over all documents of a batch at once gives the marginals, of which the largest is taken.
+other: equal digits, equal address, equal word.  All sites of one key are tied to a hub, a label of
+the key that is not seen, so a document of any length has one such edge a site and each site
+is two edges from any other of its key; features of each are the cues at any of them.  Loopy
+belief propagation over all documents of a batch at once, each until its messages settle
+(after CALM rounds they are damped more and more), gives the marginals, of which the largest
+is taken.
 Weights are trained by pseudo-likelihood on documents made here.
 
 Null and empty texts have no entities.  Rows that repeat are each scanned; a null doc_id
@@ -32,7 +35,7 @@ from .common import ids_and_texts, over, replaced, strings
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "ID", "NAME")
 OUTSIDE, K = 0, 1 + 2 * len(KINDS)  # label 1 + 2 * kind begins an entity, the next one goes on
 KIND_OF = np.array([0, *np.repeat(np.arange(1, len(KINDS) + 1), 2)])
-FORBIDDEN, ROUNDS, DAMPING, SETTLED = -12.0, 12, 0.3, 1e-4
+FORBIDDEN, CALM, DAMPING, SETTLED = -12.0, 100, 0.3, 1e-4
 TRAINING, SEED, STEPS, RATE, DECAY = 1000, 3, 200, 0.3, 1e-5
 
 CUES = {
@@ -134,7 +137,7 @@ def add_sites(s: Sites, doc: int, text: str) -> None:
         pos = _WORD.match(text, a).end()
         begins.add(a)
     begins |= _names(text)
-    before_end = -1
+    before_end, first_site = -1, len(s.doc)
     for a in sorted(begins):
         raw_end = _WORD.match(text, a).end()
         x, y = core(text, a, raw_end)
@@ -173,18 +176,25 @@ def add_sites(s: Sites, doc: int, text: str) -> None:
         if near and len(s.doc) > 1 and s.doc[-2] == doc:
             s.right[-2] = False
         before_end = raw_end if y == raw_end else -1  # signs behind a token end what it is part of
+    cues: dict[str, tuple[list[int], set[str]]] = {}
+    for i in range(first_site, len(s.doc)):
+        of, seen = cues.setdefault(s.key[i], ([], set()))
+        of.append(i)
+        seen.update(x for x in s.features[i] if x.startswith("cue"))
+    for of, seen in cues.values():
+        if len(of) > 1:
+            for i in of:
+                s.features[i] += [f"any:{x}" for x in sorted(seen)]
 
 
 def edges(s: Sites) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of neighbouring sites, and pairs of each site with the one before that resembles it."""
+    """Pairs of neighbouring sites, and pairs of each site that has others of its key and their hub; hubs are numbered behind the sites."""
     chain = [(i - 1, i) for i in range(1, len(s.doc)) if s.linked[i] and s.doc[i] == s.doc[i - 1]]
-    last: dict[tuple[int, str], int] = {}
-    skip = []
+    groups: dict[tuple[int, str], list[int]] = {}
     for i, k in enumerate(zip(s.doc, s.key)):
-        j = last.get(k)
-        if j is not None and not (j == i - 1 and s.linked[i]):
-            skip.append((j, i))
-        last[k] = i
+        groups.setdefault(k, []).append(i)
+    hubs = (g for g in groups.values() if len(g) > 1)
+    skip = [(i, len(s.doc) + h) for h, g in enumerate(hubs) for i in g]
     return np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
 
 
@@ -193,7 +203,7 @@ class Model:
     names: dict[str, int]
     unary: np.ndarray  # features, labels
     chain: np.ndarray  # label of the left, label of the right
-    same: np.ndarray  # by kind, outside included: bonus of a skip edge between equal kinds
+    same: np.ndarray  # by kind, outside included: bonus of a site and its hub of equal kinds
 
 
 def _structure() -> np.ndarray:
@@ -233,8 +243,9 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def marginals(unary: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS, damping: float = DAMPING) -> np.ndarray:
-    """Loopy belief propagation. pairs: edges and the potential of their two labels; exact without cycles after enough rounds."""
+def marginals(unary: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], rounds: int | None = None, damping: float = DAMPING, owner: np.ndarray | None = None) -> np.ndarray:
+    """Loopy belief propagation. pairs: edges and the potential of their two labels; exact without cycles. Each owner's (document's)
+    messages are passed until they settle, in at most so many rounds if these are given."""
     pairs = [(e, t) for e, t in pairs if len(e)]
     if not pairs:
         return _softmax(unary)
@@ -243,27 +254,52 @@ def marginals(unary: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], rou
     back = np.concatenate([x + off for off, n in zip(np.cumsum([0, *(2 * len(e) for e, _ in pairs)]), (len(e) for e, _ in pairs)) for x in (np.arange(n, 2 * n), np.arange(n))])
     tables = [t for _, tab in pairs for t in (np.exp(tab), np.exp(tab.T))]
     blocks = np.cumsum([0, *(len(e) for e, _ in pairs for _ in range(2))])
-    order = np.argsort(dst, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], dst[order][1:] != dst[order][:-1]]))
+    of = (np.zeros(len(unary), np.int64) if owner is None else owner)[src]
     log = np.full((len(src), K), -np.log(K))
-    belief = unary
-    for k in range(rounds):
-        total = np.add.reduceat(log[order], heads, axis=0)
-        belief = unary.copy()
-        belief[dst[order][heads]] += total
-        out = belief[src] - log[back]
+    belief = unary.copy()
+
+    def gather(live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = live[np.argsort(dst[live], kind="stable")]
+        return order, np.flatnonzero(np.concatenate([[True], dst[order][1:] != dst[order][:-1]]))
+
+    every = np.arange(len(src))
+    live, (order, heads) = every, gather(every)
+    k = 0
+    while len(live) and (rounds is None or k < rounds):
+        nodes = dst[order][heads]
+        belief[nodes] = unary[nodes] + np.add.reduceat(log[order], heads, axis=0)
+        out = belief[src[live]] - log[back[live]]
         out = np.exp(out - out.max(axis=1, keepdims=True))
-        new = np.concatenate([out[a:b] @ t for a, b, t in zip(blocks, blocks[1:], tables)])
+        cuts = np.searchsorted(live, blocks)
+        new = np.concatenate([out[a:b] @ t for a, b, t in zip(cuts, cuts[1:], tables)])
         new = np.log(np.maximum(new / new.sum(axis=1, keepdims=True), 1e-300))
-        change = np.abs(np.exp(new) - np.exp(log)).max()
-        log = new if not k else (1 - damping) * new + damping * log
-        if change < SETTLED:
-            break
+        keep = 1 - (1 - damping) * 0.98 ** max(k - CALM, 0)
+        step = new if not k else (1 - keep) * new + keep * log[live]
+        change = np.abs(np.exp(new if k < CALM else step) - np.exp(log[live])).max(axis=1)
+        log[live] = step
+        moving = np.zeros(of.max() + 1, bool)
+        moving[of[live[change >= SETTLED]]] = True
+        if not moving[of[live]].all():
+            live = live[moving[of[live]]]
+            if len(live):
+                order, heads = gather(live)
+        k += 1
+    order, heads = gather(every)
     belief = unary.copy()
     belief[dst[order][heads]] += np.add.reduceat(log[order], heads, axis=0)
     return _softmax(belief)
 
 
+def with_hubs(unary: np.ndarray, skip: np.ndarray, doc: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Potentials of sites and hubs, whose labels are kinds only, and the document of each."""
+    hubs = int(skip[:, 1].max()) + 1 - len(unary) if len(skip) else 0
+    owner = np.concatenate([np.array(doc, np.int64), np.zeros(hubs, np.int64)])
+    owner[skip[:, 1]] = owner[skip[:, 0]]
+    flat = np.zeros((hubs, K))
+    flat[:, 2::2] = FORBIDDEN
+    return np.concatenate([unary, flat]), owner
+
+
 def label(m: Model, texts: list[str | None]) -> list[tuple[int, int, int, str, float]]:
     """(text, start, end, kind, least probability) of every entity."""
     s = Sites()
@@ -273,7 +309,8 @@ def label(m: Model, texts: list[str | None]) -> list[tuple[int, int, int, str, f
     if not s.doc:
         return []
     chain, skip = edges(s)
-    p = marginals(unaries(m, s), [(chain, m.chain), (skip, skip_table(m.same))])
+    potentials, owner = with_hubs(unaries(m, s), skip, s.doc)
+    p = marginals(potentials, [(chain, m.chain), (skip, skip_table(m.same))], owner=owner)[: len(s.doc)]
     best = p.argmax(axis=1)
     kind = p @ (KIND_OF[:, None] == np.arange(len(KINDS) + 1)[None])
     out: list[list] = []
@@ -373,14 +410,17 @@ def model(n: int = TRAINING, seed: int = SEED) -> Model:
     has[owner, at] = 1
     left, right = np.array(s.left, bool), np.array(s.right, bool)
     first = ~left & ~np.array(s.linked, bool)
-    # the true labels of the sites that each site is tied to, counted
+    # the true labels of the sites and the kind of the hub that each site is tied to
     before, behind, tied = np.zeros((len(y), K)), np.zeros((len(y), K)), np.zeros((len(y), len(KINDS) + 1))
     before[chain[:, 1]] = truth[chain[:, 0]]
     behind[chain[:, 0]] = truth[chain[:, 1]]
     before[left, OUTSIDE] = 1
     behind[right, OUTSIDE] = 1
-    for a, b in ((0, 1), (1, 0)):
-        np.add.at(tied, (skip[:, a], KIND_OF[y[skip[:, b]]]), 1)
+    site, hub = skip[:, 0], skip[:, 1] - len(y)
+    own = np.eye(len(KINDS) + 1)[KIND_OF[y[site]]]
+    counted = np.zeros((hub.max() + 1, len(KINDS) + 1))
+    np.add.at(counted, hub, own)
+    tied[site, (counted[hub] - own).argmax(axis=1)] = 1  # the hub has the kind of most others
     kinds = (KIND_OF[:, None] == np.arange(len(KINDS) + 1)[None]).astype(float)
     held = [np.full(m.unary.shape, 1e-6), np.full((K, K), 1e-6), np.full(len(KINDS) + 1, 1e-6)]
     free = _structure() == 0

@@ -60,3 +60,29 @@ def test_odd_rows(odd, table):
     assert sorted((r.doc_id or 0, r.start, r.end, r.kind) for r in op.scan(docs).collect()) == [(0, 9, 18, "EMAIL"), (1, 9, 18, "EMAIL"), (1, 9, 18, "EMAIL")]
     assert op.mask(docs).where("text = 'mail me: [EMAIL] now'").count() == 3
     assert op.scan(docs.limit(0)).count() == 0
+
+
+def test_a_cue_reaches_all_mentions():
+    m = op.model()
+    for n in (2, 12, 50, 400):
+        for at in (0, n // 2, n - 1):
+            text = " and then much later he wrote ".join(("ssn " if i == at else "") + "123456789" for i in range(n))
+            assert [x[3] for x in op.label(m, [text])] == ["ID"] * n, (n, at)
+        assert not op.label(m, [" and then much later he wrote ".join(["123456789"] * n)])
+
+
+def test_messages_go_on_until_they_settle(monkeypatch):
+    monkeypatch.setattr(op, "K", 2)
+    n = 60
+    unary = np.zeros((n, 2))
+    unary[0, 1] = 8.0
+    chain = [(np.array([[i, i + 1] for i in range(n - 1)]), np.array([[6.0, 0.0], [0.0, 6.0]]))]
+    got = op.marginals(unary, chain)
+    t = np.exp(6.0) / (1 + np.exp(6.0))
+    want, p = [], np.exp(8.0) / (1 + np.exp(8.0))
+    for _ in range(n):
+        want.append(p)
+        p = p * t + (1 - p) * (1 - t)
+    assert np.abs(got[:, 1] - want).max() < 1e-2
+    both = op.marginals(np.concatenate([unary, unary[:2]]), [(np.concatenate([chain[0][0], [[n, n + 1]]]), chain[0][1])], owner=np.repeat([0, 1], [n, 2]))
+    assert np.allclose(both[:n], got)
