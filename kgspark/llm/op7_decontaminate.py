@@ -8,7 +8,8 @@ removed as a whole.
 Items of fewer than n words are one window of all their words, if these are at least
 LEAST; still shorter ones, null and empty ones are not looked for.  Null and empty texts
 have no spans and stay.  Rows that repeat are each judged.  A benchmark of more than
-SET_CHARS characters is looked up in several scans, each with a set of that size.
+SET_CHARS characters is looked up in several scans of the whole texts, each with a set of
+that size; the spans of all of them are judged and cut together.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ids_and_texts, over, replaced, strings
 from .words import U64, Words, chunks, tokenize, words_of
@@ -151,18 +153,28 @@ def without(text: str, cuts: list[tuple[int, int]]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int = LEAST, share: float = DROP_SHARE, most: int = SET_CHARS) -> DataFrame:
     """The documents, with spans cut out of text (n_chars follows, where it is a column) or rows removed; other columns as they are."""
-    for index in indexes(benchmark, n, least, most):
+    parts = indexes(benchmark, n, least, most)
+    schema, column = docs.schema, "spans"
+    while column in (x.lower() for x in docs.columns):
+        column += "_"
+    between = T.StructType([*schema.fields, T.StructField(column, T.ArrayType(T.LongType()))])  # words of the spans that were found: first, behind the last, ...
+    for k, index in enumerate(parts):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batch: pa.RecordBatch, held=held) -> Iterator[pa.RecordBatch]:
+        def run(batch: pa.RecordBatch, held=held, first=k == 0, last=k == len(parts) - 1) -> Iterator[pa.RecordBatch]:
             texts, keep = strings(batch), np.ones(batch.num_rows, bool)
+            found = [[] for _ in texts] if first else batch.column(batch.num_columns - 1).to_pylist()
+            rest = batch if first else batch.select(batch.schema.names[:-1])
             changed = False
             for at, piece in chunks(texts):
                 w = tokenize(piece)
-                by_doc: dict[int, list[tuple[int, int]]] = {}
                 for doc, _, a, b, _ in merged(hits(held.value, w, piece)):
-                    by_doc.setdefault(doc, []).append((a, b))
-                for doc, cuts in by_doc.items():
+                    found[at + doc] += [a, b]
+                for doc in range(len(piece)) if last else ():
+                    ends = found[at + doc]
+                    if not ends:
+                        continue
+                    cuts = list(zip(ends[::2], ends[1::2]))
                     f, total = w.first[doc], w.first[doc + 1] - w.first[doc]
                     inside = np.zeros(total, bool)
                     for a, b in cuts:
@@ -172,14 +184,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int
                         keep[at + doc] = False
                     else:
                         texts[at + doc] = without(piece[doc], [(int(w.start[f + a]), int(w.end[f + b - 1])) for a, b in cuts])
+            if not last:
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, pa.list_(pa.int64()))], names=[*rest.schema.names, column])
+                return
             if changed:
                 columns = {"text": pa.array(texts, pa.string())}
-                if "n_chars" in batch.schema.names:
+                if "n_chars" in rest.schema.names:
                     columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-                batch = replaced(batch, columns).filter(pa.array(keep))
-            yield batch
+                rest = replaced(rest, columns).filter(pa.array(keep))
+            yield rest
 
-        docs = over(docs, docs.schema, run)
+        docs = over(docs, schema if k == len(parts) - 1 else between, run)
     return docs
 
 

@@ -52,3 +52,16 @@ def test_odd_rows(spark, odd):
     bench = spark.createDataFrame([(None, "漢字 カナ ไทย"), (1, None)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in op.spans(odd, bench).collect()} == {(6, None)}
     assert op.decontaminate(odd.limit(0), bench).count() == 0
+
+
+def test_parts_of_the_benchmark_are_judged_together(spark, table, rng):
+    items = [(i, prose(rng, 20)) for i in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    parts = len(op.indexes(bench, op.N, op.LEAST, 200))
+    assert parts > 3
+    docs = [(i, f"{prose(rng, 10)} {' '.join(x for _, x in rng.sample(items, i % 4))} {prose(rng, 26)}") for i in range(40)]
+    docs += [(100 + i, f"{prose(rng, 30)} {x[: len(x) // 2]} {items[5][1]} {x[len(x) // 2 :]} {prose(rng, 60)}") for i, x in items]
+    docs = table([*docs, (200, None), (201, "")], clashes=True)
+    rows = lambda most: sorted(map(repr, op.decontaminate(docs, bench, most=most).collect()))
+    once = rows(op.SET_CHARS)
+    assert rows(200) == once and 20 < len(once) < 50
