@@ -1,4 +1,6 @@
 import itertools
+import re
+import time
 
 import numpy as np
 from kgspark.llm import op2_pii as op
@@ -86,3 +88,66 @@ def test_messages_go_on_until_they_settle(monkeypatch):
     assert np.abs(got[:, 1] - want).max() < 1e-2
     both = op.marginals(np.concatenate([unary, unary[:2]]), [(np.concatenate([chain[0][0], [[n, n + 1]]]), chain[0][1])], owner=np.repeat([0, 1], [n, 2]))
     assert np.allclose(both[:n], got)
+
+
+def test_time_grows_with_length_alone():
+    m, began = op.model(), time.perf_counter()
+    for text, n in (("Dr. Foo" + "Foo" * 300_000, 1), ("Dr. Foo " + "Foo" * 300_000, 1), ("(" * 300_000 + "1", 0), ("9" + ")" * 300_000, 0), ("Dr. Foo " * 20_000, 20_000)):
+        assert len(op.label(m, [text])) == n
+    assert time.perf_counter() - began < 10
+
+
+def test_cues_in_any_case(table):
+    docs = table([(1, "SEÑOR Garcia came."), (2, "MR. Smith and Dr Who"), (3, "TELÉFONO of none"), (4, "lamp Smith")])
+    assert sorted((r.doc_id, r.kind) for r in op.scan(docs).collect()) == [(1, "NAME"), (2, "NAME"), (2, "NAME")]
+    assert [r.text for r in op.mask(docs).orderBy("doc_id").collect()] == ["[NAME] came.".join(["SEÑOR ", ""]), "MR. [NAME] and Dr [NAME]", "TELÉFONO of none", "lamp Smith"]
+
+
+def brute(m, text):
+    """Entities of one short text by plain loops: tokens one by one, all pairs of sites, all combinations of labels."""
+    tokens = [(x.start(), x.end()) for x in re.finditer(r"\S+", text)]
+    cores = [op.core(text, a, b) for a, b in tokens]
+    word = lambda k: text[slice(*cores[k])]
+    named = set()
+    for k in range(len(tokens) - 1):
+        if text[slice(*tokens[k])].strip(".:(").lower() in op.CUES["name"]:
+            for j in range(k + 1, min(k + 4, len(tokens))):
+                w = word(j)
+                if not w or not w[0].isupper() or not w.replace("-", "").isalpha() or w.lower() in op.CUE_OF or "\n" in text[tokens[j - 1][1] : tokens[j][0]] or cores[j][0] > tokens[j][0]:
+                    break
+                named.add(j)
+                if cores[j][1] < tokens[j][1]:
+                    break
+    named |= {k for k in range(len(tokens)) if word(k) in {word(j) for j in named if len(word(j)) > 2}}
+    sites = [k for k in range(len(tokens)) if word(k) and (k in named or any(c in "0123456789@" for c in text[slice(*tokens[k])]))]
+    s = op.Sites()
+    op.add_sites(s, 0, text)
+    assert list(zip(s.start, s.end)) == [cores[k] for k in sites]
+    n = len(sites)
+    chain = [(i, i + 1) for i in range(n - 1) if sites[i + 1] == sites[i] + 1 and cores[sites[i]][1] == tokens[sites[i]][1]]
+    keys = [op._key(word(k)) for k in sites]
+    hubs = [k for k in dict.fromkeys(keys) if keys.count(k) > 1]
+    if n + len(hubs) > 4:
+        return None
+    unary = np.concatenate([op.unaries(m, s), np.tile(np.where((np.arange(op.K) > 0) & (np.arange(op.K) % 2 == 0), op.FORBIDDEN, 0.0), (len(hubs), 1))])
+    skip = [(i, n + hubs.index(k)) for i, k in enumerate(keys) if k in hubs]
+    p = enumerated(unary, [(np.array(chain, int).reshape(-1, 2), m.chain), (np.array(skip, int).reshape(-1, 2), op.skip_table(m.same))])
+    out = []
+    for i in range(n):
+        y = int(p[i].argmax())
+        if y and y % 2 == 0 and out and (i - 1, i) in chain and out[-1][3] == i - 1 and out[-1][2] == op.KINDS[op.KIND_OF[y] - 1]:
+            out[-1][1], out[-1][3] = s.end[i], i
+        elif y:
+            out.append([s.start[i], s.end[i], op.KINDS[op.KIND_OF[y] - 1], i])
+    return [tuple(x[:3]) for x in out]
+
+
+def test_scan_is_that_of_all_combinations(table):
+    m = op.model()
+    texts = [t[: t.find(" ", 60)] for t, _ in op.made(400, seed=5)]
+    want = {i: x for i, x in enumerate(brute(m, t) for t in texts) if x is not None}
+    assert len(want) > 100 and sum(map(len, want.values())) > 100
+    got: dict = {i: [] for i in want}
+    for r in op.scan(table([(i, texts[i]) for i in want])).orderBy("doc_id", "start").collect():
+        got[r.doc_id].append((r.start, r.end, r.kind))
+    assert sum(got[i] != want[i] for i in want) <= 0.02 * len(want)  # message passing is not exact on loops
