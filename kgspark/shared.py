@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +14,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, as in tests, a new folder of this session."""
+    """spark.checkpoint.dir. Where that is unset, the folder that was set on the context; if there is none, and executors are threads of this
+    process (local mode, as in tests), a new one that goes when the process ends. On a cluster that is an error: machines would not see each
+    other's folders."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     held = sc._jsc.sc().getCheckpointDir()
+    if not folder and held.isDefined():
+        return held.get()
     if not folder:
-        folder = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="kgspark-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="kgspark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = "file://" + own
     if not held.isDefined():
         sc.setCheckpointDir(folder)
     return folder
