@@ -6,12 +6,18 @@ like a WARC record, and owns the members that begin inside the range, which it r
 their end beyond it.  Behind a member the next one begins, or the scan goes on.  So no
 index is needed, each record is read once, and splits can be as small as one likes.
 
+A member whose payload is stored, not deflated, and is itself an archive has members inside that
+look like those of the file.  A split that begins within it decodes the members from
+LOOK_BACK bytes before on, and so knows where the outer one ends; only in an outer member that
+begins still earlier the inner records are read as well.
+
 A member that does not inflate to its end (cut off or damaged) has no records, and the
 scan goes on behind its magic.  A member may hold several records; one whose block is
 shorter than its Content-Length is not a record.  Missing headers are null.  Empty files
 have no records, an empty table is one empty archive or none.  The writer leaves out the
 headers of null columns, drops line ends and outer blanks of URIs, and marks a null body by a header, so null and empty stay apart.
-Rows that repeat are records of their own.
+Rows that repeat are records of their own.  Of a table the writer takes the three columns that it
+is given; others cannot clash.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Batches, qualified, shared_dir
 
 MAGIC, BEGINS = b"\x1f\x8b\x08", b"WARC/1."
-SPLIT, PIECE, FEED, BATCH = 32 << 20, 1 << 20, 1 << 14, 4 << 20
+SPLIT, PIECE, FEED, BATCH, LOOK_BACK = 32 << 20, 1 << 20, 1 << 14, 4 << 20, 2 << 20
 RECORDS = "file string, offset long, record_id string, uri string, type string, content_type string, payload binary"
 _NAMES = [x.split()[0] for x in RECORDS.split(", ")]
 _KINDS = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
@@ -114,12 +120,23 @@ def records(member: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 2
 
 
+def _begin(source: pa.NativeFile, start: int) -> int:
+    """Where a split's scan begins: its start, or the end of a member that begins up to LOOK_BACK bytes before and reaches beyond."""
+    at = max(0, start - LOOK_BACK)
+    w = _Window(source, at, source.size())
+    while at < start and (at := w.find(MAGIC, at, start)) >= 0:
+        got = inflate(w, at)
+        at = at + 1 if got is None else got[1]
+        w.forget(at)
+    return max(at, start)
+
+
 def read_split(path: str, start: int, end: int) -> Iterator[tuple]:
     """Rows of RECORDS of the members that begin in [start, end)."""
     fs, name = pafs.FileSystem.from_uri(path)
     with fs.open_input_file(name) as source:
-        w = _Window(source, start, source.size())
-        at = start
+        at = _begin(source, start)
+        w = _Window(source, at, source.size())
         while at < end and (at := w.find(MAGIC, at, end)) >= 0:
             got = inflate(w, at)
             if got is None:

@@ -49,3 +49,14 @@ def test_round_trip_of_odd_pages(spark):
     key = lambda r: (r[0] is None, r[0] or 0, r[2] or "")
     assert sorted(map(tuple, op.round_trip(pages, split=1000).collect()), key=key) == sorted(rows, key=key)
     assert op.round_trip(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("split", [1 << 30, 4000, 100])
+def test_archives_within_members_are_payload(tmp_path, split):
+    rng = random.Random(4)
+    inner = b"".join(op.member(f"inner-{i}", None, rng.randbytes(900)) for i in range(4))
+    outer = [op.member("a", None, rng.randbytes(700)), op.member("b", None, inner, level=0), op.member("c", None, b"x"), op.member("d", None, inner[:950], level=0), op.member("e", None, b"y")]
+    (f := tmp_path / "a.warc.gz").write_bytes(b"".join(outer))
+    size = os.path.getsize(f)
+    rows = [r[2] for s in range(0, size, split) for r in op.read_split(f"file://{f}", s, s + split)]
+    assert rows == ["a", "b", "c", "d", "e"]
