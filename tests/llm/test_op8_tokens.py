@@ -41,9 +41,38 @@ def test_against_a_loop(codec, rng, rule):
 
 def test_sums_and_odd_rows(odd, codec):
     enc, _ = codec
-    rows = op.sections(odd).collect()
+    rows = op.sections(odd, op.VOCABULARY).collect()
     want = sum(len(enc.encode_ordinary(r.text)) for r in odd.collect() if r.text is not None)
     assert sum(r.tokens for r in rows) == want
-    assert op.sections(odd.limit(0)).count() == 0
+    assert op.sections(odd.limit(0), op.VOCABULARY).count() == 0
     with pytest.raises(ValueError):
-        op.sections(odd, rule="half")
+        op.sections(odd, op.VOCABULARY, rule="half")
+
+
+@pytest.mark.parametrize("rule", op.RULES)
+def test_fields_against_a_loop(spark, codec, rule):
+    enc, sizes = codec
+    rows = [(1, "A title", "Its text\nof lines", 5), (2, None, "é漢字🎉 only text", None), (3, "", "", 0), (None, "x", None, 7), (4, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, text string, field_0 int")
+    columns = ["title", "text", "field_0"]
+    got = {}
+    for r in op.fields(docs, columns, op.VOCABULARY, rule, separator="\n").collect():
+        got[r.doc_id, r.field] = (r.char_start, r.char_end, r.tokens)
+    want = {}
+    for i, *values in rows:
+        if all(v is None for v in values):
+            continue
+        parts = ["" if v is None else str(v) for v in values]
+        whole, ends = "\n".join(parts), []
+        for k, p in enumerate(parts):
+            a = ends[-1][1] if ends else 0
+            ends.append((a, a + len(p) + (k < 2)))
+        spans = [(len(whole[:a].encode()), len(whole[:b].encode())) for a, b in ends]
+        counts, at = [0] * 3, 0
+        for t in enc.encode_ordinary(whole):
+            shares = [max(0, min(at + sizes[t], b) - max(at, a)) for a, b in spans]
+            touched = [k for k, x in enumerate(shares) if x]
+            counts[{"first": touched[0], "last": touched[-1], "most": shares.index(max(shares))}[rule]] += 1
+            at += sizes[t]
+        want |= {(i, c): (a, b, n) for c, (a, b), n in zip(columns, ends, counts)}
+    assert got == want
