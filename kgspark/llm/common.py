@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,30 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import settled, shared_folder as shared_dir, table  # noqa: F401  for the operators
+
 Batches = Iterator[pa.RecordBatch]
 
 #: Rows of a side that may be broadcast (keys of 8 to 24 bytes); above, a shuffle join is used.
 BROADCAST_ROWS = 2_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where that is unset, as in tests, a new one of this session."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        folder = "file://" + tempfile.mkdtemp(prefix="kgspark-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
 def qualified(spark: SparkSession, folder: str) -> str:
     """The folder's URI with its scheme, as Spark's default file system has it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -43,8 +26,7 @@ def qualified(spark: SparkSession, folder: str) -> str:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read from there; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return settled(df)
 
 
 def bounded(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -129,9 +129,9 @@ dup AS (SELECT doc_id, {dup} FROM cover GROUP BY doc_id),
 line AS (SELECT doc_id, x, len(x) * count(*) AS c, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS x FROM doc) WHERE x <> '' GROUP BY doc_id, x),
 lines AS (SELECT doc_id, coalesce(sum(c) FILTER (n > 1), 0) AS part, sum(c) AS whole FROM line GROUP BY doc_id),
 found AS (SELECT doc_id, all_words, coalesce(part, 0) AS part, coalesce(whole, 0) AS whole, {chars} FROM size LEFT JOIN lines USING (doc_id) LEFT JOIN dup USING (doc_id) {joins})
-SELECT doc_id, {shares}, round((part / greatest(whole, 1))::DOUBLE, 6) AS dup_lines FROM found WHERE {keep} AND part * 100 <= whole * {LINES}
+SELECT doc_id, {shares}, round((part / greatest(whole, 1))::DOUBLE, 6) AS dup_lines, {keep} AND part * 100 <= whole * {LINES} AS keep FROM found
 """
 
 
-#: The kept rows of measures() in DuckDB, where doc_id is unique.
-KEPT_SQL = _sql()
+#: measures() in DuckDB, where doc_id is unique.
+MEASURES_SQL = _sql()

@@ -9,7 +9,8 @@ Items of fewer than n words are one window of all their words, if these are at l
 LEAST; still shorter ones, null and empty ones are not looked for.  Null and empty texts
 have no spans and stay.  Rows that repeat are each judged.  A benchmark of more than
 SET_CHARS characters is looked up in several scans of the whole texts, each with a set of
-that size; the spans of all of them are judged and cut together.
+that size; the spans of all of them are judged and cut together.  Empty tables have no spans
+and stay as they are; other columns are handed on and cannot clash.
 """
 
 from __future__ import annotations
@@ -33,12 +34,14 @@ SET_CHARS = 20_000_000
 
 @dataclass
 class Grams:
-    """Windows of one length: sorted hashes, and the item and first word of each."""
+    """Different windows of one length: sorted hashes, the item and first word of an example of each, and the items that have it."""
 
     n: int
     hash: np.ndarray
     item: np.ndarray
     at: np.ndarray
+    begin: np.ndarray  # of each window's items in owners; one more at the end
+    owners: np.ndarray
     maybe: np.ndarray  # by the upper 20 bits of a hash, whether there is one like it
 
 
@@ -57,31 +60,47 @@ def build(items: list[tuple[int | None, str]], n: int = N, least: int = LEAST) -
         if size >= min(least, n):
             at, h = w.windows(size)
             found.setdefault(size, []).append((h, np.full(len(at), i), at))
+    words = [words_of(t) for _, t in items]
     grams = []
     for size, parts in sorted(found.items()):
         h, item, at = map(np.concatenate, zip(*parts))
         order = np.lexsort((at, item, h))
+        h, item, at = h[order], item[order], at[order]
+        # equal windows are compared with a text once, however many items have them; different ones of one hash stay apart
+        kind = np.zeros(len(h), np.int64)
+        lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        for a, b in zip(lead, [*lead[1:], len(h)]):
+            if b > a + 1:
+                names: dict[tuple[str, ...], int] = {}
+                kind[a:b] = [names.setdefault(tuple(words[i][p : p + size]), len(names)) for i, p in zip(item[a:b].tolist(), at[a:b].tolist())]
+        order = np.lexsort((at, item, kind, h))
+        h, item, at, kind = h[order], item[order], at[order], kind[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])])
+        once = new | np.concatenate([[True], item[1:] != item[:-1]])
+        begin = np.append(np.cumsum(once)[new] - 1, once.sum())
         maybe = np.zeros(1 << 20, bool)
         maybe[h >> U64(44)] = True
-        grams.append(Grams(size, h[order], item[order], at[order], maybe))
-    return Index([i for i, _ in items], [words_of(t) for _, t in items], grams)
+        grams.append(Grams(size, h[new], item[new], at[new], begin, item[once], maybe))
+    return Index([i for i, _ in items], words, grams)
 
 
-def indexes(benchmark: DataFrame, n: int, least: int, most: int = SET_CHARS) -> list[Index]:
-    """The items in sets of bounded size, collected one after the other."""
+def indexes(benchmark: DataFrame, n: int, least: int, most: int = SET_CHARS) -> tuple[int, Iterator[Index]]:
+    """Number of sets of bounded size, and the sets, collected one after the other."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = int(total // most) + 1
     shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    out = []
-    for k in range(parts):
-        rows = (items if parts == 1 else items.where(shard == k)).collect()
-        out.append(build(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])), n, least))
-    return out
+
+    def made() -> Iterator[Index]:
+        for k in range(parts):
+            rows = (items if parts == 1 else items.where(shard == k)).collect()
+            yield build(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])), n, least)
+
+    return parts, made()
 
 
-def hits(index: Index, w: Words, texts: list[str]) -> list[tuple[int, int, int, int]]:
-    """(text, item, first word in the text, number of words) of each verified hit."""
+def hits(index: Index, w: Words, texts: list[str], each: bool = True) -> list[tuple[int, int, int, int]]:
+    """(text, item, first word in the text, number of words) of each verified hit; if not each, of one item of those that share a window."""
     out = []
     cache: dict[int, list[str]] = {}
     for g in index.grams:
@@ -95,12 +114,11 @@ def hits(index: Index, w: Words, texts: list[str]) -> list[tuple[int, int, int,
                 cache[doc] = words_of(texts[doc])
             p = int(at[k] - w.first[doc])
             own = cache[doc][p : p + g.n]
-            seen = set()
             for e in range(lo[k], hi[k]):
                 i, q = int(g.item[e]), int(g.at[e])
-                if i not in seen and index.words[i][q : q + g.n] == own:
-                    seen.add(i)
-                    out.append((doc, i, p, g.n))
+                if index.words[i][q : q + g.n] == own:
+                    out += [(doc, x, p, g.n) for x in g.owners[g.begin[e] : g.begin[e + 1]].tolist()] if each else [(doc, 0, p, g.n)]
+                    break
     return out
 
 
@@ -122,7 +140,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int = LEAST,
     names = [x.split()[0] for x in schema.split(", ")]
     texts = ids_and_texts(docs).where("text is not null")
     found = None
-    for index in indexes(benchmark, n, least, most):
+    for index in indexes(benchmark, n, least, most)[1]:
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batch: pa.RecordBatch, held=held) -> Iterator[pa.RecordBatch]:
@@ -142,48 +160,44 @@ def spans(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int = LEAST,
 
 
 def without(text: str, cuts: list[tuple[int, int]]) -> str:
-    """The text without the (possibly overlapping) character spans."""
-    out, at = [], 0
-    for a, b in sorted(cuts):
-        if a > at:
-            out.append(text[at:a])
-        at = max(at, b)
-    return "".join([*out, text[at:]])
+    """The text without the character spans, which are in order and do not overlap."""
+    ends = [0, *(x for c in cuts for x in c), len(text)]
+    return "".join(text[a:b] for a, b in zip(ends[::2], ends[1::2]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int = LEAST, share: float = DROP_SHARE, most: int = SET_CHARS) -> DataFrame:
     """The documents, with spans cut out of text (n_chars follows, where it is a column) or rows removed; other columns as they are."""
-    parts = indexes(benchmark, n, least, most)
+    parts, made = indexes(benchmark, n, least, most)
     schema, column = docs.schema, "spans"
     while column in (x.lower() for x in docs.columns):
         column += "_"
     between = T.StructType([*schema.fields, T.StructField(column, T.ArrayType(T.LongType()))])  # words of the spans that were found: first, behind the last, ...
-    for k, index in enumerate(parts):
+    for k, index in enumerate(made):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batch: pa.RecordBatch, held=held, first=k == 0, last=k == len(parts) - 1) -> Iterator[pa.RecordBatch]:
+        def run(batch: pa.RecordBatch, held=held, first=k == 0, last=k == parts - 1) -> Iterator[pa.RecordBatch]:
             texts, keep = strings(batch), np.ones(batch.num_rows, bool)
             found = [[] for _ in texts] if first else batch.column(batch.num_columns - 1).to_pylist()
             rest = batch if first else batch.select(batch.schema.names[:-1])
             changed = False
             for at, piece in chunks(texts):
                 w = tokenize(piece)
-                for doc, _, a, b, _ in merged(hits(held.value, w, piece)):
+                for doc, _, a, b, _ in merged(hits(held.value, w, piece, each=False)):
                     found[at + doc] += [a, b]
                 for doc in range(len(piece)) if last else ():
                     ends = found[at + doc]
                     if not ends:
                         continue
-                    cuts = list(zip(ends[::2], ends[1::2]))
                     f, total = w.first[doc], w.first[doc + 1] - w.first[doc]
-                    inside = np.zeros(total, bool)
-                    for a, b in cuts:
-                        inside[a:b] = True
+                    inside = np.zeros(total + 2, bool)
+                    for a, b in zip(ends[::2], ends[1::2]):
+                        inside[a + 1 : b + 1] = True
                     changed = True
                     if inside.sum() >= share * total:
                         keep[at + doc] = False
                     else:
-                        texts[at + doc] = without(piece[doc], [(int(w.start[f + a]), int(w.end[f + b - 1])) for a, b in cuts])
+                        edges = np.flatnonzero(inside[1:] != inside[:-1])  # touching spans, of whatever items, are cut as one
+                        texts[at + doc] = without(piece[doc], [(int(w.start[f + a]), int(w.end[f + b - 1])) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())])
             if not last:
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, pa.list_(pa.int64()))], names=[*rest.schema.names, column])
                 return
@@ -194,11 +208,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int
                 rest = replaced(rest, columns).filter(pa.array(keep))
             yield rest
 
-        docs = over(docs, schema if k == len(parts) - 1 else between, run)
+        docs = over(docs, schema if k == parts - 1 else between, run)
     return docs
 
 
-#: Full equivalent of spans() without character offsets; benchmark items here have at least N words.
+#: spans() in DuckDB; the mere number of an item's words tells the length of its windows.
 SPANS_SQL = r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS ws FROM documents),
 item AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS ws FROM benchmark),
@@ -210,6 +224,9 @@ train AS (SELECT doc_id, i - 1 AS p, n, array_to_string(ws[i:i + n - 1], ' ') AS
 hit AS (SELECT doc_id, item_id, p, p + n AS e FROM train JOIN test USING (g)),
 edge AS (SELECT *, max(e) OVER (PARTITION BY doc_id, item_id ORDER BY p, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM hit),
 island AS (SELECT *, sum(CASE WHEN before IS NULL OR p > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item_id ORDER BY p, e ROWS UNBOUNDED PRECEDING) AS k FROM edge)
-SELECT doc_id, item_id, min(p)::BIGINT AS word_start, max(e)::BIGINT AS word_end, count(*)::BIGINT AS n_hits
-FROM island GROUP BY doc_id, item_id, k
+span AS (SELECT doc_id, item_id, min(p)::BIGINT AS word_start, max(e)::BIGINT AS word_end, count(*)::BIGINT AS n_hits FROM island GROUP BY doc_id, item_id, k),
+piece AS (SELECT doc_id, unnest(ps) AS s, generate_subscripts(ps, 1) AS j FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+') AS ps FROM documents WHERE doc_id IN (SELECT doc_id FROM span))),
+ends AS (SELECT doc_id, s, j, sum(len(s)) OVER (PARTITION BY doc_id ORDER BY j ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM piece),
+placed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS w, e - len(s) AS a, e FROM ends WHERE regexp_matches(s, '^[\p{L}\p{N}\p{M}]'))
+SELECT span.*, x.a::BIGINT AS char_start, y.e AS char_end FROM span JOIN placed x ON x.doc_id = span.doc_id AND x.w = word_start JOIN placed y ON y.doc_id = span.doc_id AND y.w = word_end - 1
 """

@@ -24,7 +24,7 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op4_repetition.measures(table(spark, sf_dir, "documents")).where("keep").drop("keep")
+    return op4_repetition.measures(table(spark, sf_dir, "documents"))
 
 
 def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +36,11 @@ def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = op7_decontaminate.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("char_start", "char_end")
+    return op7_decontaminate.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op8_tokens.sections(table(spark, sf_dir, "documents"))
+    return op8_tokens.sections(table(spark, sf_dir, "documents"), op8_tokens.VOCABULARY)
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": op3_warc.ROUND_TRIP_SQL,
-    "op4_repetition": op4_repetition.KEPT_SQL,
+    "op4_repetition": op4_repetition.MEASURES_SQL,
     "op5_substrings": op5_substrings.SPANS_SQL,
     "op6_mixing": op6_mixing.MIX_SQL,
     "op7_decontaminate": op7_decontaminate.SPANS_SQL,

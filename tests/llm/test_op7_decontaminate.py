@@ -57,7 +57,7 @@ def test_odd_rows(spark, odd):
 def test_parts_of_the_benchmark_are_judged_together(spark, table, rng):
     items = [(i, prose(rng, 20)) for i in range(12)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    parts = len(op.indexes(bench, op.N, op.LEAST, 200))
+    parts, _ = op.indexes(bench, op.N, op.LEAST, 200)
     assert parts > 3
     docs = [(i, f"{prose(rng, 10)} {' '.join(x for _, x in rng.sample(items, i % 4))} {prose(rng, 26)}") for i in range(40)]
     docs += [(100 + i, f"{prose(rng, 30)} {x[: len(x) // 2]} {items[5][1]} {x[len(x) // 2 :]} {prose(rng, 60)}") for i, x in items]
@@ -65,3 +65,26 @@ def test_parts_of_the_benchmark_are_judged_together(spark, table, rng):
     rows = lambda most: sorted(map(repr, op.decontaminate(docs, bench, most=most).collect()))
     once = rows(op.SET_CHARS)
     assert rows(200) == once and 20 < len(once) < 50
+
+
+def test_windows_that_many_items_share(spark, table, rng):
+    frame = prose(rng, 12)
+    items = [(i, f"{frame} {prose(rng, 10)}") for i in range(60)] + [(60, f"{frame} {frame}"), (61, frame)]
+    docs = [(i, f"{prose(rng, 20)} {frame if i % 2 else items[i][1]} {prose(rng, 20)}") for i in range(10)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = op.spans(table(docs), bench).collect()
+    assert {(r.doc_id, r.item_id, r.word_start, r.word_end) for r in found} == brute(docs, items) and len(found) >= 10 * 62
+    texts = dict(docs)
+    for r in found:
+        assert words_of(texts[r.doc_id][r.char_start : r.char_end]) == words_of(texts[r.doc_id])[r.word_start : r.word_end]
+
+
+def test_different_windows_of_one_hash_stay_apart(monkeypatch, rng):
+    real = op.Words.windows
+    monkeypatch.setattr(op.Words, "windows", lambda self, n: (real(self, n)[0], real(self, n)[1] >> op.U64(60) << op.U64(60)))
+    items = [(i, prose(rng, 12)) for i in range(8)] + [(8, None)]
+    index = op.build([x for x in items if x[1]])
+    docs = [(i, f"{prose(rng, 15)} {items[i % 8][1]} {prose(rng, 5)}") for i in range(12)]
+    for each in (True, False):
+        got = {(d, index.ids[i] if each else None, a, b) for k, (d, t) in enumerate(docs) for _, i, a, b, _ in op.merged(op.hits(index, op.tokenize([t]), [t], each))}
+        assert got == {(d, i if each else None, a, b) for d, i, a, b in brute(docs, items[:8])}
