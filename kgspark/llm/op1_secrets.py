@@ -1,19 +1,22 @@
 """Secret scans by grammar inference.
 
 For each credential format a prefix tree of labelled examples becomes an acyclic
-probabilistic automaton: level by level, states whose next-symbol distributions agree
-within Hoeffding bounds are merged.  For formats of fixed length levels are kept apart, so
+probabilistic automaton: level by level, states are merged whose next-symbol distributions,
+and recursively those of their successors, agree within Hoeffding bounds.  For formats of fixed length levels are kept apart, so
 an automaton knows how long its format is.  Formats of open length (OPEN) keep apart only
 the levels before the first that may end a part; the ones from there are a loop, so strings
 of any length match, but only of symbols that were seen there.  All candidate strings of all
 texts are scored by the likelihood ratio of each automaton against a bigram model of ordinary
 strings; a format's threshold lies between its held-out examples and held-out ordinary strings.
 
-Formats without a literal mark (hex and base64) count only after a word
-such as "token", "key" or "password" with an assignment sign.  Candidates are maximal runs of
+Formats without a literal mark (hex and base64; of one's own labelled credentials those
+that one names as generic) count only after a word such as "token", "key" or "password" with an assignment sign.  Candidates are maximal runs of
 letters, digits and _-+/. of at least SHORTEST characters, and their pieces between slashes
-and dots, also with a slash on one side and a dot on the other, of any length.  Overlapping finds: the first of the longest stays.  Null and empty texts have no finds.  Rows that
-repeat are each scanned.  Offsets count characters.
+and dots, also with a slash on one side and a dot on the other, of any length.  A credential that is glued to more letters or digits is part of a longer run,
+and is not looked for inside it; keys of several lines are not among the formats.  Overlapping
+finds: the first of the longest stays.  Null and empty texts have no finds.  Rows that
+repeat are each scanned.  Offsets count characters.  An empty table gives an empty result;
+scan() reads doc_id and text alone, so other columns cannot clash, and redact() hands them on.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import ids_and_texts, over, replaced, strings
 
@@ -96,13 +100,28 @@ class Automaton:
 
 
 def infer(examples: list[str], alpha: float = ALPHA, smooth: float = SMOOTH) -> Automaton:
-    """The automaton of one format; states are merged with the first compatible one of their level, largest first."""
+    """The automaton of one format; states are merged with the first compatible one of their level, largest first.
+
+    Two states are compatible if their next-symbol distributions agree within Hoeffding bounds, and so do, recursively, the states that the same
+    symbol leads to from both; pairs of so few examples that nothing could tell them apart end the recursion."""
     text = [np.frombuffer(e.encode("ascii"), np.uint8) for e in examples]
     depth = max(map(len, text))
     symbol = np.full((len(text), depth + 1), END)
     for i, t in enumerate(text):
         symbol[i, : len(t)] = t
     bound = np.sqrt(0.5 * np.log(2 / alpha))
+
+    def compatible(a: np.ndarray, b: np.ndarray, level: int) -> bool:
+        width = bound * (len(a) ** -0.5 + len(b) ** -0.5)
+        if width >= 1 or level > depth:
+            return True
+        x, y = symbol[a, level], symbol[b, level]
+        p, q = np.bincount(x, minlength=SYMBOLS + 1), np.bincount(y, minlength=SYMBOLS + 1)
+        if (np.abs(p / len(a) - q / len(b)) >= width).any():
+            return False
+        both = np.flatnonzero((p > 1) & (q > 1) & (np.arange(SYMBOLS + 1) != END))
+        return all(compatible(a[x == c], b[y == c], level + 1) for c in both)
+
     state = np.zeros(len(text), np.int64)  # of the examples, in the level; -1: ended
     counts, arrows, offset = [], [], 0
     for level in range(depth + 1):
@@ -117,23 +136,20 @@ def infer(examples: list[str], alpha: float = ALPHA, smooth: float = SMOOTH) ->
             break
         code = state[going] * SYMBOLS + symbol[going, level]
         nodes, node = np.unique(code, return_inverse=True)
-        after = np.zeros((len(nodes), SYMBOLS + 1))
-        np.add.at(after, (node, symbol[going, level + 1]), 1)
+        order = np.argsort(node, kind="stable")
+        members = np.split(np.flatnonzero(going)[order], np.cumsum(np.bincount(node))[:-1])
         merged, to = [], np.zeros(len(nodes), np.int64)
-        for k in np.argsort(-after.sum(axis=1), kind="stable"):
-            own = after[k].sum()
-            for s, held in enumerate(merged):
-                size = held.sum()
-                if (np.abs(after[k] / own - held / size) < bound * (own**-0.5 + size**-0.5)).all():
-                    merged[s] = held + after[k]
-                    to[k] = s
-                    break
+        for k in np.argsort([-len(m) for m in members], kind="stable"):
+            own = members[k]
+            s = next((s for s, held in enumerate(merged) if compatible(own, held, level + 1)), len(merged))
+            to[k] = s
+            if s == len(merged):
+                merged.append(own)
             else:
-                to[k] = len(merged)
-                merged.append(after[k].copy())
+                merged[s] = np.concatenate([merged[s], own])
         arrow = np.full((n_states, SYMBOLS), -1)
         arrow[nodes // SYMBOLS, nodes % SYMBOLS] = to
-        heaviest = int(np.argmax([m.sum() for m in merged]))
+        heaviest = int(np.argmax([len(m) for m in merged]))
         arrow[arrow < 0] = heaviest  # a symbol that was never seen here is improbable, not impossible
         arrows.append(arrow)
         state = np.full(len(text), -1)
@@ -194,6 +210,8 @@ class Scanner:
     automata: list[Automaton]
     bigram: np.ndarray
     thresholds: np.ndarray
+    open: frozenset[str] = frozenset(OPEN)
+    generic: frozenset[str] = frozenset(GENERIC)
 
 
 def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -247,15 +265,39 @@ def prefix_ratios(sc: Scanner, text: str, ends: list[int]) -> np.ndarray:
 
 @cache
 def scanner(n: int = EXAMPLES, seed: int = SEED) -> Scanner:
-    """Automata of three quarters of the examples, thresholds of the rest; made once in a process."""
-    examples = labelled(n, seed)
+    """The scanner of the examples that are made here; once in a process."""
+    return learned(labelled(n, seed))
+
+
+def labelled_rows(rows: DataFrame, most: int = 100_000) -> dict[str, list[str]]:
+    """Examples by format from a table (format, text), where the empty format marks ordinary strings. More rows than most are an error; null and empty
+    texts and those with other characters than ASCII are left out."""
+    got = rows.select(F.col("format").cast("string"), F.col("text").cast("string")).where("text != '' and format is not null").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} labelled strings")
+    out: dict[str, list[str]] = {}
+    for name, text in sorted(map(tuple, got)):
+        if text.isascii():
+            out.setdefault(name, []).append(text)
+    for name, texts in out.items():
+        np.random.default_rng(SEED).shuffle(texts)
+        if len(texts) < 4:
+            raise ValueError(f"{name or 'ordinary strings'}: at least four examples are needed")
+    if "" not in out or len(out) < 2:
+        raise ValueError("both credentials and ordinary strings (format '') are needed")
+    return out
+
+
+def learned(examples: dict[str, list[str]], open_: frozenset[str] = frozenset(OPEN), generic: frozenset[str] = frozenset(GENERIC)) -> Scanner:
+    """Automata of three quarters of each format's examples, thresholds of the rest. open_: formats of open length; generic: those that count only behind a key."""
+    examples = dict(examples)
     plain = examples.pop("")
     cut = lambda x: (x[: len(x) * 3 // 4], x[len(x) * 3 // 4 :])
     table = np.full((SYMBOLS + 1, SYMBOLS + 1), 0.5)
     for t in cut(plain)[0]:
         codes = [END, *t.encode("ascii"), END]
         np.add.at(table, (codes[:-1], codes[1:]), 1)
-    sc = Scanner(list(examples), [(infer_open if name in OPEN else infer)(cut(x)[0]) for name, x in examples.items()], np.log(table / table.sum(axis=1, keepdims=True)), np.zeros(0))
+    sc = Scanner(list(examples), [(infer_open if name in open_ else infer)(cut(x)[0]) for name, x in examples.items()], np.log(table / table.sum(axis=1, keepdims=True)), np.zeros(0), open_, generic)
     rejected = ratios(sc, cut(plain)[1]).max(axis=0)
     lowest = lambda r: np.quantile(r[np.isfinite(r)], 0.005)
     accepted = np.array([lowest(ratios(sc, cut(x)[1])[:, k]) for k, x in enumerate(examples.values())])
@@ -309,9 +351,9 @@ def finds(texts: list[str | None], sc: Scanner) -> list[tuple[int, int, int, str
         for k in np.flatnonzero((over_by >= 0).any(axis=1)):
             i, a, b = part[k]
             keyed = bool(KEYED.search(texts[i][max(0, a - CONTEXT) : a]))
-            allowed = [f for f in np.flatnonzero(over_by[k] >= 0) if keyed or sc.names[f] not in GENERIC]
+            allowed = [f for f in np.flatnonzero(over_by[k] >= 0) if keyed or sc.names[f] not in sc.generic]
             if allowed:
-                f = max(allowed, key=lambda f: (sc.names[f] not in OPEN, ratio[k, f], -f))  # one of known length first
+                f = max(allowed, key=lambda f: (sc.names[f] not in sc.open, ratio[k, f], -f))  # one of known length first
                 out.append((i, a, b, sc.names[f], float(round(ratio[k, f] / (b - a), 4)), keyed))
     kept: list[tuple[int, int, int, str, float, bool]] = []
     for x in sorted(out, key=lambda x: (x[0], -(x[2] - x[1]), x[1])):
@@ -321,9 +363,9 @@ def finds(texts: list[str | None], sc: Scanner) -> list[tuple[int, int, int, str
     return kept
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, format, score (log-likelihood ratio a character), keyed of every credential."""
-    held = docs.sparkSession.sparkContext.broadcast(scanner())
+def scan(docs: DataFrame, by: Scanner | None = None) -> DataFrame:
+    """doc_id, start, end, format, score (log-likelihood ratio a character), keyed of every credential. by: a scanner of one's own examples."""
+    held = docs.sparkSession.sparkContext.broadcast(by or scanner())
     schema = "doc_id long, start long, end long, format string, score double, keyed boolean"
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -336,9 +378,9 @@ def scan(docs: DataFrame) -> DataFrame:
     return over(ids_and_texts(docs).where("text is not null"), schema, run)
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, by: Scanner | None = None) -> DataFrame:
     """The documents with [SECRET:format] in place of each credential (n_chars follows, where it is a column); other columns as they are."""
-    held = docs.sparkSession.sparkContext.broadcast(scanner())
+    held = docs.sparkSession.sparkContext.broadcast(by or scanner())
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = strings(batch)

@@ -223,7 +223,7 @@ train AS (SELECT doc_id, i - 1 AS p, n, array_to_string(ws[i:i + n - 1], ' ') AS
           FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM doc, sizes WHERE len(ws) >= n)),
 hit AS (SELECT doc_id, item_id, p, p + n AS e FROM train JOIN test USING (g)),
 edge AS (SELECT *, max(e) OVER (PARTITION BY doc_id, item_id ORDER BY p, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM hit),
-island AS (SELECT *, sum(CASE WHEN before IS NULL OR p > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item_id ORDER BY p, e ROWS UNBOUNDED PRECEDING) AS k FROM edge)
+island AS (SELECT *, sum(CASE WHEN before IS NULL OR p > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item_id ORDER BY p, e ROWS UNBOUNDED PRECEDING) AS k FROM edge),
 span AS (SELECT doc_id, item_id, min(p)::BIGINT AS word_start, max(e)::BIGINT AS word_end, count(*)::BIGINT AS n_hits FROM island GROUP BY doc_id, item_id, k),
 piece AS (SELECT doc_id, unnest(ps) AS s, generate_subscripts(ps, 1) AS j FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+') AS ps FROM documents WHERE doc_id IN (SELECT doc_id FROM span))),
 ends AS (SELECT doc_id, s, j, sum(len(s)) OVER (PARTITION BY doc_id ORDER BY j ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM piece),

@@ -102,3 +102,91 @@ def test_overlaps_are_resolved_among_many_finds():
     found = op.finds([f"token={head}/{tail} {others}"], sc)
     assert len(found) > 64 and found[0][1:3] == (6, 6 + len(head) + 1 + len(tail))
     assert all(x[2] <= y[1] for x, y in zip(found, found[1:]))
+
+
+def test_states_with_different_futures_stay_apart():
+    # "a" and "b" are followed by "x" alike, but by other symbols behind it
+    examples = ["axp", "bxq"] * 60
+    a = op.infer(examples)
+    step = lambda s, c: int(a.next[s, ord(c)])
+    assert step(0, "a") != step(0, "b")
+    m, sizes = op._matrix(["axp", "axq"])
+    good, bad = op.likelihood(a, m, sizes)
+    assert good > bad + 3
+    alike = op.infer(["axp", "bxp"] * 60)
+    assert alike.next[0, ord("a")] == alike.next[0, ord("b")]
+
+
+def brute(texts, sc):
+    """Finds by plain loops: all spans of every run, scored symbol by symbol, overlaps compared one with another."""
+    out = []
+    for i, t in enumerate(texts):
+        found = []
+        for m in op.RUN.finditer(t or ""):
+            a, b = m.span()
+            while b > a and t[b - 1] in ".-+/":
+                b -= 1
+            keyed = bool(op.KEYED.search(t[:a]))
+            spans = set()
+            for x in range(a, b + 1):
+                for y in range(x + 1, b + 1):
+                    inner = t[x:y]
+                    starts, ends = x == a or t[x - 1] in "/.", y == b or t[y] in "/."
+                    if not (starts and ends) or y - x < op.SHORTEST:
+                        continue
+                    single = "/" not in inner and "." not in inner
+                    whole = (x, y) == (a, b)
+                    by = lambda sign: sign not in inner and (x == a or t[x - 1] == sign) and (y == b or t[y] == sign) and sign in t[a:b]  # noqa: E731, B023
+                    jwt = inner.count(".") == 2 and "/" not in inner
+                    head = keyed and x == a and "." not in inner and y < b
+                    if whole or single or by("/") or by(".") or jwt or head:
+                        spans.add((x, y))
+            for x, y in spans:
+                text, codes = t[x:y], [*t[x:y].encode(), op.END]
+                back, scores = 0.0, []
+                for p, c in zip([op.END, *codes], codes):
+                    back += sc.bigram[p, c]
+                for k, auto in enumerate(sc.automata):
+                    state, total = 0, 0.0
+                    for c in codes:
+                        total += auto.logp[state, c]
+                        state = auto.next[state, c] if c != op.END else 0
+                    scores.append(total - back if len(text) <= auto.depth else -np.inf)
+                here = bool(op.KEYED.search(t[:x]))
+                ok = [k for k, s in enumerate(scores) if s >= sc.thresholds[k] and (here or sc.names[k] not in sc.generic)]
+                if ok:
+                    k = max(ok, key=lambda k: (sc.names[k] not in sc.open, scores[k], -k))  # noqa: B023
+                    found.append((x, y, sc.names[k]))
+        kept = []
+        for x in sorted(found, key=lambda x: (-(x[1] - x[0]), x[0])):
+            if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
+                kept.append(x)
+        out += [(i, *x) for x in sorted(kept)]
+    return out
+
+
+def test_scan_is_that_of_plain_loops(table):
+    rng = random.Random(8)
+    parts = [e for x in op.labelled(12, seed=81).values() for e in x]
+    texts = [None, "", "no run"]
+    for _ in range(150):
+        e = rng.choice(parts)
+        before, behind = rng.choice(["", "path/", "https://a.example/", "token=", 'key: "', "x.y.", "password="]), rng.choice(["", ".txt", "/more/of.it", '"', ".", "/"])
+        texts.append(f"some words {before}{e}{behind} and {rng.choice(parts)} more")
+    want = brute(texts, op.scanner())
+    got = sorted(tuple(r[:4]) for r in op.scan(table(list(enumerate(texts)))).collect())
+    assert got == sorted(want) and len(want) > 80
+
+
+def test_own_labelled_credentials(spark, table):
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choices(string.digits, k=n))
+    rows = [("acme", f"acme#{some(4)}".replace("#", "_") + "-" + some(14)) for _ in range(200)] + [("", "".join(rng.choices(string.ascii_lowercase, k=20))) for _ in range(200)] + [("acme", None), (None, "x"), ("acme", "é"), ("acme", "")]
+    sc = op.learned(op.labelled_rows(spark.createDataFrame(rows, "format string, text string")))
+    docs = table([(1, f"use acme_{some(4)}-{some(14)} now"), (2, "use acmeacmeacmeacmeacme now"), (3, "AKIA" + "QRST2345" * 2)])
+    assert [(r.doc_id, r.start, r.format) for r in op.scan(docs, sc).collect()] == [(1, 4, "acme")]
+    assert op.redact(docs, sc).where("doc_id = 1").first().text == "use [SECRET:acme] now"
+    with pytest.raises(ValueError):
+        op.labelled_rows(spark.createDataFrame(rows[:200], "format string, text string"))
+    with pytest.raises(ValueError):
+        op.labelled_rows(spark.createDataFrame(rows, "format string, text string"), most=10)
