@@ -10,12 +10,15 @@ one, which are compared by 64-bit hashes.  Runs of repeated places are the spans
 
 All exchanges carry packed columns: a row holds, for one bucket, the sorted and compressed
 hashes, documents and positions of very many anchors.  Buckets follow the number of
-characters, so memory of a task does not grow with the corpus.
+characters, so memory of a task does not grow with the corpus.  A passage that very many
+documents share does not meet in one bucket: what a task or a bucket of documents knows to be
+shared sends one place of it, so a hash's bucket has one row from each of them.
 
 Words are those of words.py; spans count words.  Null and empty texts and those shorter
 than LENGTH words have no spans.  Rows that repeat doc_id and text are one document (else
 each would be a repetition of itself); rows of one doc_id with different texts are
-documents of their own.  A null doc_id stays null and sorts first.
+documents of their own.  A null doc_id stays null and sorts first.  An empty table has no
+spans; other columns are not read and cannot clash.
 """
 
 from __future__ import annotations
@@ -36,7 +39,9 @@ LENGTH = PERIOD + WINDOW - 1
 BUCKET_CHARS, FLUSH = 24_000_000, 2_000_000
 NO_ID = -(1 << 63)  # stands for a null doc_id on the way
 PACKED = "bucket int, n int, hash binary, doc binary, tag binary, pos binary, first binary"
-_NAMES = [x.split()[0] for x in PACKED.split(", ")]
+_KINDS = [tuple(x.split()) for x in PACKED.split(", ")]
+_NAMES = [x for x, _ in _KINDS]
+_ARROW = pa.schema([(x, pa.int32() if k == "int" else pa.binary()) for x, k in _KINDS])
 _TYPES = {"hash": U64, "doc": np.int64, "tag": np.int32, "pos": np.int32, "first": np.int64}
 Columns = dict[str, np.ndarray]
 _SALT = 1_000_003
@@ -65,8 +70,7 @@ def pack(bucket: np.ndarray, c: Columns) -> Iterator[pa.RecordBatch]:
     for a, b in zip(cut, [*cut[1:], len(bucket)]):
         rows.append([int(bucket[a]), int(b - a), *(_zip(k, c[k][a:b].astype(_TYPES[k])) if k in c else None for k in _NAMES[2:])])
     if rows:
-        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
 
 
 def unpack(rows: list[dict]) -> Columns:
@@ -85,22 +89,31 @@ def hash_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U64(40)) % U64(buckets)).astype(np.int64)
 
 
-def by_bucket(packed: DataFrame, buckets: int, work: Callable[[Columns], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """work over all columns of each bucket."""
+def by_bucket(rows: DataFrame, buckets: int, schema: str, work: Callable[[list[dict]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """work over all rows of each bucket; a task has one bucket."""
 
     def run(batches: Batches) -> Batches:
-        rows: list[dict] = []
+        held: list[dict] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if rows and rows[0]["bucket"] != row["bucket"]:
-                    yield from work(unpack(rows))
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield from work(unpack(rows))
+            held += batch.to_pylist()
+        if held:
+            yield from work(held)
+
+    return rows.repartitionById(buckets, "bucket").mapInArrow(run, schema)
+
+
+def distinct(c: Columns) -> tuple[Columns, np.ndarray, np.ndarray]:
+    """The places, each once, in the order of hash, doc, tag and pos; where each hash begins, and how many places it has."""
+    order = np.lexsort((c["pos"], c["tag"], c["doc"], c["hash"]))
+    c = {k: v[order] for k, v in c.items()}
+    one = np.concatenate([[True], np.any([c[k][1:] != c[k][:-1] for k in ("hash", "doc", "tag", "pos")], axis=0)])
+    c = {k: v[one] for k, v in c.items()}
+    lead = np.flatnonzero(np.concatenate([[True], c["hash"][1:] != c["hash"][:-1]]))
+    return c, lead, np.diff(np.append(lead, len(c["hash"])))
+
 
-    own = max(buckets, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return packed.repartition(own, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+def some(c: Columns, at: np.ndarray, *names: str) -> Columns:
+    return {k: c[k][at] for k in names or c}
 
 
 def anchors(w: Words) -> np.ndarray:
@@ -123,17 +136,6 @@ def around(w: Words, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
 
 
-def again(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the hashes, and in this order for each the place of its group's first; only of hashes that are there twice."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-    lead = np.flatnonzero(new)
-    count = np.diff(np.concatenate([lead, [len(s)]]))
-    many = np.repeat(count > 1, count)
-    return order[many], order[np.repeat(lead, count)[many]]
-
-
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, word_start, word_end, n_places, first_doc_id (least doc_id that has the span's first LENGTH words) of every span."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text")).where("text is not null")
@@ -154,63 +156,89 @@ def spans(docs: DataFrame) -> DataFrame:
                     held.append({"hash": window_hash(w.sums(), at, WINDOW), "doc": doc[own], "tag": tag[own], "pos": at - w.first[w.doc[at]]})
                     size += len(at)
             if size >= FLUSH:
-                whole = {k: np.concatenate([c[k] for c in held]) for k in held[0]}
+                yield from sent({k: np.concatenate([c[k] for c in held]) for k in held[0]})
                 held, size = [], 0
-                yield from pack(hash_bucket(whole["hash"], n), whole)
         if held:
-            whole = {k: np.concatenate([c[k] for c in held]) for k in held[0]}
-            yield from pack(hash_bucket(whole["hash"], n), whole)
-
-    def shared(c: Columns) -> Iterator[pa.RecordBatch]:
-        # a repeated row repeats all its anchors: of equal places one stays
-        order = np.lexsort((c["pos"], c["tag"], c["doc"], c["hash"]))
-        c = {k: v[order] for k, v in c.items()}
-        one = np.concatenate([[True], np.any([c[k][1:] != c[k][:-1] for k in ("hash", "doc", "tag", "pos")], axis=0)])
-        c = {k: v[one] for k, v in c.items()}
-        at, _ = again(c["hash"])
-        at = np.sort(at)
-        own = {k: c[k][at] for k in ("doc", "tag", "pos")}
-        order = np.lexsort((own["pos"], own["tag"], own["doc"]))
-        own = {k: v[order] for k, v in own.items()}
-        yield from pack(document_bucket(own["doc"], own["tag"], n), own)
-
-    def extend(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.Table.from_batches([], pa.schema(list(zip(_NAMES, [pa.int32(), pa.int32()] + [pa.binary()] * 5))))
-        if not left.num_rows or not right.num_rows:
-            return none
-        c = unpack(right.to_pylist())
-        order = np.lexsort((c["pos"], c["tag"], c["doc"]))
-        doc, tag, pos = (c[k][order] for k in ("doc", "tag", "pos"))
-        lead = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))
-        where = {(int(doc[a]), int(tag[a])): (a, b) for a, b in zip(lead, [*lead[1:], len(doc)])}
-        rows, texts, ranges = [], [], []
-        for i, key in enumerate(zip(left.column("doc").to_pylist(), left.column("tag").to_pylist())):
-            if (r := where.pop(key, None)) is not None:
-                rows.append(key)
-                texts.append(left.column("text")[i].as_py())
-                ranges.append(r)
-        held: list[Columns] = []
-        for begin, piece in chunks(texts):
-            w = tokenize(piece)
-            at = np.concatenate([pos[a:b] + w.first[k] for k, (a, b) in enumerate(ranges[begin : begin + len(piece)])])
-            at = around(w, at)
-            key = np.array(rows[begin : begin + len(piece)], np.int64)[w.doc[at]].reshape(-1, 2)
-            held.append({"hash": window_hash(w.sums(), at, LENGTH), "doc": key[:, 0], "tag": key[:, 1], "pos": at - w.first[w.doc[at]]})
-        if not held:
-            return none
-        whole = {k: np.concatenate([c[k] for c in held]) for k in held[0]}
-        return pa.Table.from_batches(list(pack(hash_bucket(whole["hash"], n), whole)), none.schema)
-
-    def repeated(c: Columns) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((c["pos"], c["tag"], c["doc"]))
-        c = {k: v[order] for k, v in c.items()}
-        at, first = again(c["hash"])
-        c = {"doc": c["doc"][at], "tag": c["tag"][at], "pos": c["pos"][at], "first": c["doc"][first]}
-        order = np.lexsort((c["pos"], c["tag"], c["doc"]))
-        c = {k: v[order] for k, v in c.items()}
-        yield from pack(document_bucket(c["doc"], c["tag"], n), c)
+            yield from sent({k: np.concatenate([c[k] for c in held]) for k in held[0]})
 
-    def joined(c: Columns) -> Iterator[pa.RecordBatch]:
+    def sent(c: Columns) -> Iterator[pa.RecordBatch]:
+        # the first place of each hash goes to the hash's bucket; where a hash has more, all are known to be shared, and go to their documents' buckets
+        c, lead, count = distinct(c)
+        yield from pack(hash_bucket(c["hash"][lead], n), some(c, lead))
+        known = some(c, np.repeat(count > 1, count), "doc", "tag", "pos")
+        yield from pack(document_bucket(known["doc"], known["tag"], n), known)
+
+    def through(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+    def shared(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        yield from through([r for r in rows if r["hash"] is None])
+        if rows := [r for r in rows if r["hash"] is not None]:
+            c, _, count = distinct(unpack(rows))
+            own = some(c, np.repeat(count > 1, count), "doc", "tag", "pos")
+            order = np.lexsort((own["pos"], own["tag"], own["doc"]))
+            own = some(own, order)
+            yield from pack(document_bucket(own["doc"], own["tag"], n), own)
+
+    def extend(batches: Batches) -> Batches:
+        """Windows of one bucket: its places come first, its texts behind them."""
+        places: list[dict] = []
+        where: dict[tuple[int, int], tuple[int, int]] | None = None
+        pos = np.zeros(0, np.int64)
+        held: list[Columns] = []
+        for batch in batches:
+            is_text = np.asarray(batch.column("text").is_valid())
+            places += batch.filter(pa.array(~is_text)).select(_NAMES).to_pylist()
+            batch = batch.filter(pa.array(is_text))
+            if not batch.num_rows:
+                continue
+            if where is None:
+                where = {}
+                if places:
+                    c, _, _ = distinct({"hash": np.zeros(sum(r["n"] for r in places), U64), **unpack(places)})
+                    pos, places = c["pos"], []
+                    lead = np.flatnonzero(np.concatenate([[True], (c["doc"][1:] != c["doc"][:-1]) | (c["tag"][1:] != c["tag"][:-1])]))
+                    where = {(int(c["doc"][a]), int(c["tag"][a])): (a, b) for a, b in zip(lead, [*lead[1:], len(pos)])}
+            rows, texts, ranges = [], [], []
+            for key, text in zip(zip(batch.column("doc_of").to_pylist(), batch.column("tag_of").to_pylist()), strings(batch)):
+                if (r := where.pop(key, None)) is not None:
+                    rows.append(key)
+                    texts.append(text)
+                    ranges.append(r)
+            for begin, piece in chunks(texts):
+                w = tokenize(piece)
+                at = np.concatenate([pos[a:b] + w.first[k] for k, (a, b) in enumerate(ranges[begin : begin + len(piece)])])
+                at = around(w, at)
+                key = np.array(rows[begin : begin + len(piece)], np.int64)[w.doc[at]].reshape(-1, 2)
+                held.append({"hash": window_hash(w.sums(), at, LENGTH), "doc": key[:, 0], "tag": key[:, 1], "pos": at - w.first[w.doc[at]]})
+        if held:
+            # as with anchors: one place of each hash stands for the bucket's, the others wait with their hash for what is found about it
+            c, lead, count = distinct({k: np.concatenate([x[k] for x in held]) for k in held[0]})
+            yield from pack(hash_bucket(c["hash"][lead], n), some(c, lead) | {"first": (count > 1).astype(np.int64)})
+            rest = np.ones(len(c["hash"]), bool)
+            rest[lead] = False
+            rest = some(c, rest)
+            yield from pack(document_bucket(rest["doc"], rest["tag"], n), rest)
+
+    def repeated(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        yield from through([r for r in rows if r["first"] is None])
+        if rows := [r for r in rows if r["first"] is not None]:
+            c, lead, count = distinct(unpack(rows))
+            twice = np.repeat((count > 1) | (np.maximum.reduceat(c["first"], lead) > 0), count)
+            c["first"] = np.repeat(c["doc"][lead], count)
+            c = some(c, twice)
+            yield from pack(document_bucket(c["doc"], c["tag"], n), c)
+
+    def joined(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        answers = [r for r in rows if r["first"] is not None]
+        if not answers:
+            return
+        c, waiting = unpack(answers), [r for r in rows if r["first"] is None]
+        if waiting:
+            more, order = unpack(waiting), np.argsort(c["hash"], kind="stable")
+            more["first"] = c["first"][order][np.searchsorted(c["hash"], more["hash"], sorter=order)]
+            c = {k: np.concatenate([c[k], more[k]]) for k in c}
         order = np.lexsort((c["pos"], c["tag"], c["doc"]))
         doc, tag, pos, first = (c[k][order] for k in ("doc", "tag", "pos", "first"))
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] > pos[:-1] + LENGTH)])
@@ -219,12 +247,13 @@ def spans(docs: DataFrame) -> DataFrame:
         ids = lambda x: pa.array(x, pa.int64(), mask=x == NO_ID)
         yield pa.RecordBatch.from_arrays([ids(doc[lead]), *(pa.array(x.astype(np.int64)) for x in (pos[lead], pos[last] + LENGTH, last - lead + 1)), ids(first[lead])], names=["doc_id", "word_start", "word_end", "n_places", "first_doc_id"])
 
-    found = texts.where(F.length("text") >= LENGTH).mapInArrow(find_anchors, PACKED)
-    candidates = by_bucket(found, n, shared, PACKED)
-    placed = texts.where(F.length("text") >= LENGTH).withColumn("bucket", _document_bucket(n))
-    windows = placed.groupBy("bucket").cogroup(candidates.groupBy("bucket")).applyInArrow(extend, PACKED)
-    pairs = by_bucket(windows, n, repeated, PACKED)
-    return by_bucket(pairs, n, joined, "doc_id long, word_start long, word_end long, n_places long, first_doc_id long")
+    texts = texts.where(F.length("text") >= LENGTH)
+    candidates = by_bucket(texts.mapInArrow(find_anchors, PACKED), n, PACKED, shared)
+    placed = texts.select(_document_bucket(n).alias("bucket"), *(F.lit(None).cast(k).alias(c) for c, k in _KINDS[1:]), F.col("doc").alias("doc_of"), F.col("tag").alias("tag_of"), "text")
+    both = candidates.withColumns({"doc_of": F.lit(None).cast("long"), "tag_of": F.lit(None).cast("int"), "text": F.lit(None).cast("string")}).unionByName(placed)
+    windows = both.repartitionById(n, "bucket").sortWithinPartitions(F.col("text").isNotNull()).mapInArrow(extend, PACKED)
+    answers = by_bucket(windows, n, PACKED, repeated)
+    return by_bucket(answers, n, "doc_id long, word_start long, word_end long, n_places long, first_doc_id long", joined)
 
 
 #: spans() by all passages of LENGTH words, in DuckDB.

@@ -1,5 +1,6 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from kgspark.llm import op5_substrings as op
 from kgspark.llm.words import words_of
@@ -60,3 +61,22 @@ def test_odd_rows(odd):
     got = {r.doc_id for r in op.spans(odd).collect()}
     assert got == {4, 5}
     assert op.spans(odd.limit(0)).count() == 0
+
+
+def test_a_passage_in_all_documents_stays_small(table, rng, monkeypatch):
+    """Of a passage that all share, a hash's bucket gets one place from each task or bucket of documents, not one from each document."""
+    monkeypatch.setattr(op, "BUCKET_CHARS", 20_000)
+    passage = prose(rng, 130)
+    rows = [(i, f"{prose(rng, 20)} {passage} {prose(rng, 20)}") for i in range(300)]
+    docs = table(rows).repartition(3)
+    sizes, asked = [], iter(("hash is not null", "first is not null", "false"))
+    real = op.by_bucket
+
+    def spied(df, buckets, schema, work):
+        sizes.append([max(Counter(np.frombuffer(r.hash, np.uint64).tolist()).values()) for r in df.where(next(asked)).collect()])
+        return real(df, buckets, schema, work)
+
+    monkeypatch.setattr(op, "by_bucket", spied)
+    got = sorted((tuple(r) for r in op.spans(docs).collect()), key=repr)
+    assert got == brute(rows) and len(got) == 300
+    assert max(sizes[0]) == 1 == max(sizes[1]) and len(sizes[1]) < 20_000
