@@ -57,3 +57,25 @@ def test_stages_keep_the_columns(spark, table, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert docs.count() == 2
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "mixing"]
+
+
+def tables(spark, folder, docs, labels, bench):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_run_of_empty_tables(spark, table, tmp_path):
+    tables(spark, tmp_path, table([(1, "x")]).limit(0), [], [])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "text", "lang", "source", "n_chars", "mix_domain", "mix_epoch", "mix_tokens"]
+
+
+def test_run_of_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns through all stages."""
+    tables(spark, tmp_path, odd, [(4, 1, 0), (None, None, 1), (5, None, None)], [(1, None), (None, ""), (2, "x y")])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [c for c in odd.columns if c != "mix_epoch"] + ["mix_domain", "mix_epoch", "mix_tokens"]
+    ids = {(r.doc_id, r.text and r.text[:8]) for r in out.collect()}
+    rows = {(r.doc_id, r.text and r.text[:8]) for r in odd.collect()}
+    assert ids <= rows and len(ids) >= 6
