@@ -38,17 +38,18 @@ LENGTH = PERIOD + WINDOW - 1
 #: Characters of text to a bucket, of about 30 anchors to 1,000 characters; places that a task packs at once.
 BUCKET_CHARS, FLUSH = 24_000_000, 2_000_000
 NO_ID = -(1 << 63)  # stands for a null doc_id on the way
-PACKED = "bucket int, n int, hash binary, doc binary, tag binary, pos binary, first binary"
+PACKED = "bucket int, n int, hash binary, doc binary, tag binary, pos binary, first binary, ref binary"
 _KINDS = [tuple(x.split()) for x in PACKED.split(", ")]
 _NAMES = [x for x, _ in _KINDS]
 _ARROW = pa.schema([(x, pa.int32() if k == "int" else pa.binary()) for x, k in _KINDS])
-_TYPES = {"hash": U64, "doc": np.int64, "tag": np.int32, "pos": np.int32, "first": np.int64}
+_TYPES = {"hash": U64, "doc": np.int64, "tag": np.int32, "pos": np.int32, "first": np.int64, "ref": np.int32}
+_DELTAS = ("doc", "first", "ref")
 Columns = dict[str, np.ndarray]
 _SALT = 1_000_003
 
 
 def _zip(name: str, a: np.ndarray) -> bytes:
-    raw = np.diff(a, prepend=a.dtype.type(0)) if name in ("doc", "first") else a
+    raw = np.diff(a, prepend=a.dtype.type(0)) if name in _DELTAS else a
     return a.tobytes() if name == "hash" else pa.compress(raw.tobytes(), "zstd", asbytes=True)
 
 
@@ -57,7 +58,7 @@ def _unzip(name: str, data: bytes, n: int) -> np.ndarray:
     if name == "hash":
         return np.frombuffer(data, kind)
     raw = np.frombuffer(pa.decompress(data, n * kind.itemsize, "zstd", asbytes=True), kind)
-    return np.cumsum(raw, dtype=kind) if name in ("doc", "first") else raw
+    return np.cumsum(raw, dtype=kind) if name in _DELTAS else raw
 
 
 def pack(bucket: np.ndarray, c: Columns) -> Iterator[pa.RecordBatch]:
@@ -116,6 +117,11 @@ def some(c: Columns, at: np.ndarray, *names: str) -> Columns:
     return {k: c[k][at] for k in names or c}
 
 
+def by_place(c: Columns) -> Columns:
+    """In the order of documents and positions, in which these columns compress best."""
+    return some(c, np.lexsort((c["pos"], c["tag"], c["doc"])))
+
+
 def anchors(w: Words) -> np.ndarray:
     """Indices of the words at which anchors begin."""
     cover = np.zeros(PERIOD, bool)
@@ -164,8 +170,9 @@ def spans(docs: DataFrame) -> DataFrame:
     def sent(c: Columns) -> Iterator[pa.RecordBatch]:
         # the first place of each hash goes to the hash's bucket; where a hash has more, all are known to be shared, and go to their documents' buckets
         c, lead, count = distinct(c)
-        yield from pack(hash_bucket(c["hash"][lead], n), some(c, lead))
-        known = some(c, np.repeat(count > 1, count), "doc", "tag", "pos")
+        alone = by_place(some(c, lead))
+        yield from pack(hash_bucket(alone["hash"], n), alone)
+        known = by_place(some(c, np.repeat(count > 1, count), "doc", "tag", "pos"))
         yield from pack(document_bucket(known["doc"], known["tag"], n), known)
 
     def through(rows: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +183,7 @@ def spans(docs: DataFrame) -> DataFrame:
         yield from through([r for r in rows if r["hash"] is None])
         if rows := [r for r in rows if r["hash"] is not None]:
             c, _, count = distinct(unpack(rows))
-            own = some(c, np.repeat(count > 1, count), "doc", "tag", "pos")
-            order = np.lexsort((own["pos"], own["tag"], own["doc"]))
-            own = some(own, order)
+            own = by_place(some(c, np.repeat(count > 1, count), "doc", "tag", "pos"))
             yield from pack(document_bucket(own["doc"], own["tag"], n), own)
 
     def extend(batches: Batches) -> Batches:
@@ -213,32 +218,37 @@ def spans(docs: DataFrame) -> DataFrame:
                 key = np.array(rows[begin : begin + len(piece)], np.int64)[w.doc[at]].reshape(-1, 2)
                 held.append({"hash": window_hash(w.sums(), at, LENGTH), "doc": key[:, 0], "tag": key[:, 1], "pos": at - w.first[w.doc[at]]})
         if held:
-            # as with anchors: one place of each hash stands for the bucket's, the others wait with their hash for what is found about it
+            # as with anchors one place of each hash, with its number in the bucket, stands for the bucket's; all places wait with this number for the answer
             c, lead, count = distinct({k: np.concatenate([x[k] for x in held]) for k in held[0]})
-            yield from pack(hash_bucket(c["hash"][lead], n), some(c, lead) | {"first": (count > 1).astype(np.int64)})
-            rest = np.ones(len(c["hash"]), bool)
-            rest[lead] = False
-            rest = some(c, rest)
-            yield from pack(document_bucket(rest["doc"], rest["tag"], n), rest)
+            c["ref"] = np.repeat(np.arange(len(lead)), count)
+            asked = by_place(some(c, lead) | {"ref": 2 * np.arange(len(lead)) + (count > 1)})
+            del asked["pos"]
+            yield from pack(hash_bucket(asked["hash"], n), asked)
+            del c["hash"]
+            c = by_place(c)
+            yield from pack(document_bucket(c["doc"], c["tag"], n), c)
 
     def repeated(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        yield from through([r for r in rows if r["first"] is None])
-        if rows := [r for r in rows if r["first"] is not None]:
-            c, lead, count = distinct(unpack(rows))
-            twice = np.repeat((count > 1) | (np.maximum.reduceat(c["first"], lead) > 0), count)
-            c["first"] = np.repeat(c["doc"][lead], count)
-            c = some(c, twice)
-            yield from pack(document_bucket(c["doc"], c["tag"], n), c)
+        yield from through([r for r in rows if r["hash"] is None])
+        if rows := [r for r in rows if r["hash"] is not None]:
+            c = unpack(rows)
+            c = some(c, np.argsort(c["hash"], kind="stable"))
+            lead = np.flatnonzero(np.concatenate([[True], c["hash"][1:] != c["hash"][:-1]]))
+            count = np.diff(np.append(lead, len(c["hash"])))
+            twice = np.repeat((count > 1) | (np.maximum.reduceat(c["ref"] & 1, lead) > 0), count)
+            to, answer = document_bucket(c["doc"], c["tag"], n)[twice], {"ref": c["ref"][twice] >> 1, "first": np.repeat(np.minimum.reduceat(c["doc"], lead), count)[twice]}
+            order = np.argsort(answer["ref"], kind="stable")
+            yield from pack(to[order], some(answer, order))
 
     def joined(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        answers = [r for r in rows if r["first"] is not None]
+        answers, waiting = [r for r in rows if r["first"] is not None], [r for r in rows if r["first"] is None]
         if not answers:
             return
-        c, waiting = unpack(answers), [r for r in rows if r["first"] is None]
-        if waiting:
-            more, order = unpack(waiting), np.argsort(c["hash"], kind="stable")
-            more["first"] = c["first"][order][np.searchsorted(c["hash"], more["hash"], sorter=order)]
-            c = {k: np.concatenate([c[k], more[k]]) for k in c}
+        a, c = unpack(answers), unpack(waiting)
+        known, first = np.zeros(int(c["ref"].max()) + 1, bool), np.zeros(int(c["ref"].max()) + 1, np.int64)
+        known[a["ref"]], first[a["ref"]] = True, a["first"]
+        c = some(c, known[c["ref"]])
+        c["first"] = first[c["ref"]]
         order = np.lexsort((c["pos"], c["tag"], c["doc"]))
         doc, tag, pos, first = (c[k][order] for k in ("doc", "tag", "pos", "first"))
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] > pos[:-1] + LENGTH)])
