@@ -8,8 +8,8 @@ or strings for empty ones.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
-from functools import cache
+from collections.abc import Callable, Iterable
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,33 +99,61 @@ def chunks(text: Column, max_chars: int = MAX_CHUNK, max_sentences: int = MAX_SE
     return F.filter(pieces, lambda c: F.length(c) >= min_chars)
 
 
-def _bounded(cue: str) -> str:
-    cue = LEFT + cue[2:] if cue.startswith(r"\b") else cue
-    return cue[:-2] + RIGHT if cue.endswith(r"\b") else cue
+def normal(text: Column) -> Column:
+    """Lower-case words between single blanks, one at either end: what cues are looked for in."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\p{M}]+", " "), F.lit(" "))
 
 
-_DATES = [r"in \d{4}", r"on [A-Za-z0-9_]+ \d{1,2}", r"\d{1,2}[./]\d{1,2}[./]\d{2,4}"]
-_DATA = r"\d+%|[$€£¥₹₽₩₺][\d,.]+|[\d,.]+\s*(?:" + "|".join("billion million thousand milhão millón milliard millones millions milliards миллион миллиард 万 亿 백만 십억".split()) + ")"
+def cued(normalised: Column, cues: Iterable[str]) -> Column:
+    """Whether a text in normal form has one of the cues, in which "_" stands for a blank. Substrings are found without a pattern, in one scan each;
+    as a loop over a constant array, since an expression for each cue would be more code than the JVM compiles."""
+    return F.exists(F.lit([c.replace("_", " ") for c in cues]), lambda c: F.contains(normalised, c))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def cued_sql(normalised: str, cues: Iterable[str]) -> str:
+    """cued() in DuckDB."""
+    return "(" + " OR ".join(f"contains({normalised}, '{c.replace('_', ' ')}')" for c in cues) + ")"
+
+
+DATES = r"\d{1,2}[./]\d{1,2}[./]\d{2,4}|\d{4}-\d{2}-\d{2}|(?:in|im|en|nel|em|în|w|в) (?:\p{L}+ )?\d{4}|(?:on|am|el|le|il) (?:\p{L}+ )?\d{1,2}"
+MAGNITUDES = "thousand million billion trillion tausend mrd mio mil millon millón mille milliard mila milion miliard mii milioan tysi bin milyon milyar тыс млн млрд миллион миллиард 千 万 亿 億 兆 만 억 조 हज़ार लाख करोड़ ألف مليون مليار".split()
+DATA = r"\d\s?%|[$€£¥₹₽₩₺฿]\s?\d|\d\s*(?:" + "|".join(MAGNITUDES) + ")"
 
 
 def kind(text: Column) -> Column:
-    """definition, event, data-point, claim or fact: the first whose cues the text has."""
-    low = F.lower(text)
-    has = lambda cues: low.rlike("|".join(map(_bounded, cues)))
-    return (
-        F.when(text.isNull(), None)
-        .when((F.length(text) < 200) & has(lexicon.DEFINITION_CUES), "definition")
-        .when(has(_DATES + lexicon.EVENT_CUES), "event")
-        .when(low.rlike(_DATA), "data-point")
-        .when(has(lexicon.CLAIM_CUES), "claim")
+    """definition, event, data-point, claim or fact: the first whose cues the text has; dates make events, amounts data points, and only short texts define."""
+    low, digits = F.lower(text), text.rlike("[0-9]")
+    told = lambda norm: (
+        F.when((F.length(text) < 200) & cued(norm, lexicon.DEFINITION_CUES), "definition")
+        .when(digits & low.rlike(DATES), "event")
+        .when(cued(norm, lexicon.EVENT_CUES), "event")
+        .when(digits & low.rlike(DATA), "data-point")
+        .when(cued(norm, lexicon.CLAIM_CUES), "claim")
         .otherwise("fact")
     )
+    return F.when(text.isNotNull(), let(normal(text), told))
+
+
+def kind_sql(text: str) -> str:
+    """kind() in DuckDB."""
+    norm = rf"(' ' || regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g') || ' ')"
+    return f"""CASE WHEN {text} IS NULL THEN NULL WHEN len({text}) < 200 AND {cued_sql(norm, lexicon.DEFINITION_CUES)} THEN 'definition' WHEN regexp_matches(lower({text}), '{DATES}') OR {cued_sql(norm, lexicon.EVENT_CUES)} THEN 'event'
+WHEN regexp_matches(lower({text}), '{DATA}') THEN 'data-point' WHEN {cued_sql(norm, lexicon.CLAIM_CUES)} THEN 'claim' ELSE 'fact' END"""
+
+
+LINK_CHARS = 256 * 1024
 
 
-def links(text: Column) -> Column:
-    """Targets of [text](target), then of [[target]], in the first 256 KiB."""
-    scan = F.substring(text, 1, 256 * 1024)
-    return F.concat(F.regexp_extract_all(scan, F.lit(r"\[([^\]]{1,500})\]\(([^)\s]{1,2048})\)"), 2), F.regexp_extract_all(scan, F.lit(r"\[\[([^\]]{1,500})\]\]"), 1))
+def links(text: Column, most: int = LINK_CHARS) -> Column:
+    """Targets of [text](target), then of [[target]], in the first so many characters."""
+    scan = F.substring(text, 1, most)
+    inline = F.regexp_extract_all(scan, F.lit(r"\[([^\]]{1,500})\]\(([^)\s]{1,2048})\)"), 2)
+    return F.when(F.contains(text, F.lit("[")), F.concat(inline, F.regexp_extract_all(scan, F.lit(r"\[\[([^\]]{1,500})\]\]"), 1))).otherwise(_none(text))
 
 
 def defined_term(text: Column) -> Column:
@@ -153,39 +181,60 @@ def _quoted(text: Column) -> Column:
     return F.filter(F.transform(found, lambda q: F.substring(q, F.lit(2), F.length(q) - 2)), lambda q: (F.length(q) > 1) & (F.length(q) < 100))
 
 
-UNITS = "kg km mi lb oz cm mm m ft in °[CF] % MB GB TB KB MHz GHz kW MW ms μs ns".split()
-CODES = "AUD BRL CAD CHF CNY CZK DKK EUR GBP HUF INR JPY KRW NOK NZD PLN RON RUB SEK TRY USD".split()
+#: Symbols of units of the SI and of common use, longer ones before their beginnings, and codes of ISO 4217.
+UNITS = "mm cm km kg mg kWh kW MW GW kHz MHz GHz Hz KB MB GB TB PB min ms ns µs μs ml mi ft in yd lb oz °C °F % m g t l s h W V A K".split()
+CODES = "AED ARS AUD BGN BRL CAD CHF CNY CZK DKK EGP EUR GBP HKD HUF IDR ILS INR JPY KRW MXN NOK NZD PLN RON RUB SAR SEK SGD THB TRY UAH USD ZAR".split()
+
+
+def _none(text: Column) -> Column:
+    """No entities; null for null."""
+    return F.when(text.isNotNull(), F.array().cast("array<string>"))
+
+
+def _if(test: Callable[[Column], Column], extract: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """The extractor, run only on texts that pass a cheap test which every text with a find passes."""
+    return lambda t: F.when(test(t), extract(t)).otherwise(_none(t))
+
+
+def _with(*signs: str) -> Callable[[Column], Column]:
+    return lambda t: reduce(lambda x, y: x | y, (F.contains(t, F.lit(s)) for s in signs))
+
+
+_DIGIT = lambda t: t.rlike("[0-9]")
+_FAR = lambda t: t.rlike(r"[\x{0590}-\x{FFFF}]")  # noqa: E731  any script beyond Latin, Greek, Cyrillic and Armenian
+
+
 #: In this order; an entity keeps the place of its first find.
 EXTRACTORS: dict[str, Callable[[Column], Column]] = {
     "phrases": _all(r"(\p{Lu}\p{Ll}+(?:[\s\-]\p{Lu}\p{Ll}+)+)"),
     "names": _single_names,
-    "cjk": _script(r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}"),
-    "katakana": _script(r"\x{30A0}-\x{30FF}"),
-    "hangul": _script(r"\x{AC00}-\x{D7AF}"),
-    "indic": _script(r"\x{0900}-\x{0D7F}"),
-    "arabic": _script(r"\x{0600}-\x{06FF}\x{0750}-\x{077F}"),
-    "hebrew": _script(r"\x{0590}-\x{05FF}"),
-    "thai": _script(r"\x{0E00}-\x{0E7F}"),
-    "georgian": _script(r"\x{10A0}-\x{10FF}"),
-    "ethiopic": _script(r"\x{1200}-\x{137F}"),
-    "myanmar": _script(r"\x{1000}-\x{109F}"),
-    "khmer": _script(r"\x{1780}-\x{17FF}"),
-    "tibetan": _script(r"\x{0F00}-\x{0FFF}"),
-    "sinhala": _script(r"\x{0D80}-\x{0DFF}"),
-    "years": _all(LEFT + r"(1[0-9]{3}|20[0-9]{2})" + RIGHT),
-    "iso_dates": _all(LEFT + r"(\d{4}-\d{2}-\d{2})" + RIGHT),
-    "day_dates": _all(LEFT + r"(\d{1,2}[./]\d{1,2}[./]\d{2,4})" + RIGHT),
+    "cjk": _if(_FAR, _script(r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}")),
+    "katakana": _if(_FAR, _script(r"\x{30A0}-\x{30FF}")),
+    "hangul": _if(_FAR, _script(r"\x{AC00}-\x{D7AF}")),
+    "indic": _if(_FAR, _script(r"\x{0900}-\x{0D7F}")),
+    "arabic": _if(_FAR, _script(r"\x{0600}-\x{06FF}\x{0750}-\x{077F}")),
+    "hebrew": _if(_FAR, _script(r"\x{0590}-\x{05FF}")),
+    "thai": _if(_FAR, _script(r"\x{0E00}-\x{0E7F}")),
+    "georgian": _if(_FAR, _script(r"\x{10A0}-\x{10FF}")),
+    "ethiopic": _if(_FAR, _script(r"\x{1200}-\x{137F}")),
+    "myanmar": _if(_FAR, _script(r"\x{1000}-\x{109F}")),
+    "khmer": _if(_FAR, _script(r"\x{1780}-\x{17FF}")),
+    "tibetan": _if(_FAR, _script(r"\x{0F00}-\x{0FFF}")),
+    "sinhala": _if(_FAR, _script(r"\x{0D80}-\x{0DFF}")),
+    "years": _if(_DIGIT, _all(LEFT + r"(1[0-9]{3}|20[0-9]{2})" + RIGHT)),
+    "iso_dates": _if(_DIGIT, _all(LEFT + r"(\d{4}-\d{2}-\d{2})" + RIGHT)),
+    "day_dates": _if(_DIGIT, _all(LEFT + r"(\d{1,2}[./]\d{1,2}[./]\d{2,4})" + RIGHT)),
     "acronyms": lambda t: F.filter(_all(EDGE + r"(\p{Lu}{2,})" + EDGE)(t), lambda w: ~w.isin(sorted(lexicon.NOT_ACRONYMS))),
-    "backticks": _all(r"`([^`]+)`"),
-    "camel": _all(LEFT + r"([a-z]+(?:[A-Z][a-z]+)+|[A-Z][a-z]+(?:[A-Z][a-z]+)+)" + RIGHT),
-    "dotted": _all(LEFT + r"([A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)+)" + RIGHT),
-    "quoted": _quoted,
-    "parenthesised": lambda t: F.filter(_all(r"\(([^)]{2,60})\)")(t), lambda w: w.rlike(r"\p{L}")),
-    "emails": _all(LEFT + r"([A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]{2,})" + RIGHT),
-    "urls": _all(LEFT + r"(https?://[^\s<>\"')\]]+)"),
-    "tags": _all(r"(?:^|[\s(])([#@][A-Za-z0-9_\p{L}]{2,})"),
-    "measures": _all(EDGE + r"(\d+(?:[.,]\d+)?\s*(?:" + "|".join(UNITS) + "))" + EDGE),
-    "money": _all(r"([$€£¥₹₽₩₺฿]\s?\d+(?:[.,]\d+)*|" + LEFT + r"\d+(?:[.,]\d+)*\s?(?:" + "|".join(CODES) + ")" + RIGHT + ")"),
+    "backticks": _if(_with("`"), _all(r"`([^`]+)`")),
+    "camel": _if(lambda t: t.rlike("[a-z][A-Z]"), _all(LEFT + r"([a-z]+(?:[A-Z][a-z]+)+|[A-Z][a-z]+(?:[A-Z][a-z]+)+)" + RIGHT)),
+    "dotted": _if(lambda t: t.rlike("[A-Za-z0-9_][.][A-Za-z0-9_]"), _all(LEFT + r"([A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)+)" + RIGHT)),
+    "quoted": _if(_with(*"\"'«„「『“"), _quoted),
+    "parenthesised": _if(_with("("), lambda t: F.filter(_all(r"\(([^)]{2,60})\)")(t), lambda w: w.rlike(r"\p{L}"))),
+    "emails": _if(_with("@"), _all(LEFT + r"([A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]{2,})" + RIGHT)),
+    "urls": _if(_with("://"), _all(LEFT + r"(https?://[^\s<>\"')\]]+)")),
+    "tags": _if(_with("#", "@"), _all(r"(?:^|[\s(])([#@][A-Za-z0-9_\p{L}]{2,})")),
+    "measures": _if(_DIGIT, _all(EDGE + r"(\d+(?:[.,]\d+)?\s*(?:" + "|".join(UNITS) + "))" + EDGE)),
+    "money": _if(_DIGIT, _all(r"([$€£¥₹₽₩₺฿]\s?\d+(?:[.,]\d+)*|" + LEFT + r"\d+(?:[.,]\d+)*\s?(?:" + "|".join(CODES) + ")" + RIGHT + ")")),
 }
 
 
@@ -227,17 +276,12 @@ def millis(time: Column) -> Column:
     return F.unix_millis(time.cast("timestamp"))
 
 
-CONFLICT = "|".join(
-    [
-        LEFT + r"not\s+(?:the|an?)\s",
-        LEFT + r"no longer" + RIGHT,
-        LEFT + r"was\s+(?:never|not)" + RIGHT,
-        LEFT + r"(?:replaced\s+by|contrary\s+to|reclassified|disproven|disputed)" + RIGHT,
-        LEFT + r"(?:is|was)\s+(?:false|wrong|inaccurate|incorrect)" + RIGHT,
-    ]
-)
+#: Somebody says that something is not, or no longer, so.
+CONFLICT_CUES = """_no_longer_ _not_the_ _not_a_ _not_an_ _never_was_ _was_never_ _were_never_ _is_false_ _was_false_ _is_wrong_ _was_wrong_ _is_incorrect_ _was_incorrect_
+    _untrue_ _inaccurate_ _disproved_ _disproven_ _refuted_ _retracted_ _disputed_ _denies_ _denied_that_ _contradicts_ _contrary_to_ _replaced_by_ _superseded_by_
+    _reclassified_ _renamed_ _turned_out_not_ _mistakenly_ _nicht_mehr_ _ist_falsch_ _ya_no_ _es_falso_ _n_est_plus_ _est_faux_ _non_è_più_ _è_falso_ _já_não_ _é_falso_""".split()
 
 
 def conflicting(text: Column) -> Column:
     """Whether the text says that something is not, or no longer, so."""
-    return F.lower(text).rlike(CONFLICT)
+    return let(normal(text), lambda norm: cued(norm, CONFLICT_CUES))

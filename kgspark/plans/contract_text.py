@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon
 from ..functions import text as X
 from ..operators import edges, identity, index
-from ..shared import table
+from ..shared import settled, spread, table
 from ..sources import conversation, html, tabular
 from .registry import query
 
@@ -28,14 +28,15 @@ QUESTIONS = [("q1", "What was the attribution of these things and the nations?")
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """The documents as nodes."""
-    return table(spark, folder, "documents").select("doc_id", F.col("doc_id").alias("ord"), F.col("text").alias("content"), "lang", "source")
+    docs = table(spark, folder, "documents").select("doc_id", F.col("doc_id").alias("ord"), F.col("text").alias("content"), "lang", "source")
+    return spread(docs, "doc_id")
 
 
 def weighted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings with weights, document frequencies, lengths."""
     docs = documents(spark, folder)
-    found = index.postings(docs, key="doc_id")
-    inverse = index.idf(found, index.count_of(docs))
+    found = settled(index.postings(docs, key="doc_id"))
+    inverse = settled(index.idf(found, index.count_of(docs)))
     w = index.weights(found, inverse)
     return w, inverse, index.norms(w, "doc_id")
 
@@ -45,7 +46,8 @@ def questions(spark: SparkSession) -> DataFrame:
 
 
 def _counted(tokens: Column, docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    # the one exchange is of texts by doc_id, before they are words; counting keeps it
+    return docs.repartition("doc_id").select("doc_id", F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT doc_id, term, count(*) AS n FROM tok GROUP BY ALL")
@@ -137,16 +139,7 @@ def chunk_packing(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).select("doc_id", F.posexplode(packed).alias("chunk", "content")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
-def _cues(patterns: list[str]) -> str:
-    return "|".join(patterns).replace("'", "''")
-
-
-@query(
-    rf"""SELECT doc_id, i AS pos, CASE WHEN len(s) < 200 AND regexp_matches(lower(s), '{_cues(lexicon.DEFINITION_CUES)}') THEN 'definition'
-WHEN regexp_matches(lower(s), '{_cues([r"in \d{4}", r"on \w+ \d{1,2}", r"\d{1,2}[./]\d{1,2}[./]\d{2,4}", *lexicon.EVENT_CUES])}') THEN 'event'
-WHEN regexp_matches(lower(s), '{_cues([X._DATA])}') THEN 'data-point'
-WHEN regexp_matches(lower(s), '{_cues(lexicon.CLAIM_CUES)}') THEN 'claim' ELSE 'fact' END AS kind FROM (WITH {SENTENCES_SQL} SELECT doc_id, s, (k - 1)::BIGINT AS i FROM sent)"""
-)
+@query(f"WITH {SENTENCES_SQL} SELECT doc_id, (k - 1)::BIGINT AS pos, {X.kind_sql('s')} AS kind FROM sent")
 def chunk_classify(spark: SparkSession, folder: str) -> DataFrame:
     parts = documents(spark, folder).select("doc_id", F.posexplode(X.sentences(F.col("content"))).alias("pos", "s"))
     return parts.select("doc_id", F.col("pos").cast("long").alias("pos"), X.kind(F.col("s")).alias("kind"))

@@ -37,3 +37,9 @@ def settled(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder: later steps do not compute them again, whichever executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table of few splits (a small file may be one) is spread over all cores by its keys; one of many stays as it is, without an exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < 4 * cores else df
