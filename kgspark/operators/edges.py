@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import defined_term, folded
 from ..schema import CANDIDATES, DEGREE, MAX_DF, SHARED, SIMILAR, STRUCTURAL
+from ..shared import settled
 
 
 def precedes(nodes: DataFrame, group: list[str], order: list[str], key: str = "node_id") -> DataFrame:
@@ -45,51 +47,94 @@ def cites(nodes: DataFrame, titles: DataFrame, key: str = "node_id") -> DataFram
     return out.join(first, "target").where("src != dst").select("src", "dst", F.lit("cites").alias("type"), F.lit(0.7).alias("weight"), F.col("link").alias("evidence")).distinct()
 
 
-def contained(terms: DataFrame, texts: DataFrame, tokens: Column, key: str = "node_id") -> DataFrame:
+def _grams(word: Column, n: int) -> Column:
+    """The distinct substrings of n characters."""
+    return F.when(F.length(word) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda k: F.substring(word, k, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def contained(terms: DataFrame, texts: DataFrame, key: str = "node_id") -> DataFrame:
     """term_id, key: texts (key, content) that contain a term (term_id, term) in lower case.
 
-    A nested loop is avoided: a term can only be in a text that has the term's longest inner word, a word both of whose ends are within the
-    term; terms of two words or fewer, whose words may be parts of longer ones, meet all texts by broadcast."""
-    words = F.filter(F.split(F.lower("term"), "[^a-z0-9]+"), lambda w: w != "")
-    inner = terms.withColumn("words", words).withColumn("inner", F.when(F.size("words") > 2, F.array_max(F.transform(F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(1))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]))
-    own = texts.select(key, F.lower("content").alias("low"), F.array_distinct(F.split(F.lower("content"), "[^a-z0-9]+")).alias("words"))
-    by_word = own.select(key, "low", F.explode("words").alias("inner")).join(inner.where("inner is not null").select("term_id", F.lower("term").alias("t"), "inner"), "inner")
-    short = own.select(key, "low").crossJoin(inner.where("inner is null and term != ''").select("term_id", F.lower("term").alias("t")))
-    return by_word.select("term_id", key, "low", "t").unionByName(short.select("term_id", key, "low", "t")).where(F.contains("low", "t")).select("term_id", key).distinct()
+    Only equi-joins: a term is looked up by its anchor.  Of three words or more that is the longest inner word, which the text has as a word; else the
+    longest word, which is part of one of the text's words, found among the different words of all texts by the rarest of its grams of up to three
+    characters; of a term without words it is the first character."""
+    split = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")
+    longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    t = terms.select("term_id", F.lower("term").alias("t")).where("t != ''").withColumn("ws", split(F.col("t")))
+    t = t.withColumn("inner", F.when(F.size("ws") > 2, longest(F.slice("ws", 2, F.greatest(F.size("ws") - 2, F.lit(1)))))).withColumn("part", F.when(F.col("inner").isNull() & (F.size("ws") > 0), longest("ws")))
+    t = settled(t.select("term_id", "t", "inner", "part"))
+    own = texts.select(key, F.lower("content").alias("low"))
+    worded = own.select(key, "low", F.explode(F.array_distinct(split(F.col("low")))).alias("word"))
+    out = worded.join(t.where("inner is not null").select("term_id", "t", F.col("inner").alias("word")), "word").where(F.contains("low", "t")).select("term_id", key)
+    parts = t.where("part is not null")
+    if not parts.isEmpty():
+        grams = lambda c: F.explode(F.flatten(F.array(*(_grams(c, n) for n in (1, 2, 3)))))
+        vocabulary = settled(worded.select("word").distinct())
+        asked = parts.select("term_id", "t", "part", F.explode(F.when(F.length("part") < 3, F.array("part")).otherwise(_grams(F.col("part"), 3))).alias("gram"))
+        known = settled(vocabulary.select("word", grams(F.col("word")).alias("gram")).join(asked.select("gram").distinct(), "gram"))
+        rare = asked.join(known.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("term_id", "t", "part").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+        held = rare.join(known, "gram").where(F.contains("word", "part")).select("term_id", "t", "word")
+        out = out.unionByName(worded.join(held, "word").where(F.contains("low", "t")).select("term_id", key))
+    signs = t.where("part is null and inner is null")
+    if not signs.isEmpty():
+        marked = own.select(key, "low", F.explode(F.array_distinct(F.split("low", ""))).alias("sign"))
+        out = out.unionByName(marked.join(signs.select("term_id", "t", F.substring("t", 1, 1).alias("sign")), "sign").where(F.contains("low", "t")).select("term_id", key))
+    return out.distinct()
 
 
 def defines(nodes: DataFrame, key: str = "node_id") -> DataFrame:
     """src, dst: definitions and the other nodes that name what they define."""
     terms = nodes.where("type = 'definition'").select(F.col(key).alias("term_id"), defined_term(F.col("content")).alias("term")).where("length(term) > 2")
-    found = contained(terms, nodes, F.col("content"), key)
+    found = contained(terms, nodes, key)
     return found.where(F.col("term_id") != F.col(key)).select(F.col("term_id").alias("src"), F.col(key).alias("dst"), F.lit("defines").alias("type"), F.lit(0.6).alias("weight"))
 
 
 def candidates(found: DataFrame, orders: DataFrame, max_df: int = MAX_DF, most: int = CANDIDATES, key: str = "node_id") -> DataFrame:
-    """a, b, rank: for each node the first most later nodes that share a term of fewer than max_df nodes, by the first shared term, then by ord.
-
-    Of a term's list each node needs its first most later members only, so a list of m nodes gives at most m * most pairs; the lists are arrays
-    of ord of at most max_df entries."""
-    terms = found.join(orders.select(key, "ord"), key)
-    lists = terms.groupBy("term").agg(F.sort_array(F.collect_list("ord")).alias("ords"), F.count("*").alias("df")).where((F.col("df") < max_df) & (F.col("df") > 1))
-    later = terms.join(lists, "term").select("ord", "term_idx", F.slice(F.filter("ords", lambda o: o > F.col("ord")), 1, most).alias("later"))
-    pairs = later.select("ord", "term_idx", F.explode("later").alias("other")).groupBy("ord", "other").agg(F.min("term_idx").alias("first"))
-    w = Window.partitionBy("ord").orderBy("first", "other")
-    top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-    ids = orders.select(F.col(key).alias("id"), F.col("ord").alias("o"))
-    return top.join(ids.withColumnsRenamed({"id": "a", "o": "ord"}), "ord").join(ids.withColumnsRenamed({"id": "b", "o": "other"}), "other").select("a", "b", "ord", "rank")
-
-
-def pair_cosine(pairs: DataFrame, weighted: DataFrame, lengths: DataFrame, key: str = "node_id") -> DataFrame:
-    """The pairs with cosine, 0 where they share no term."""
-    left = weighted.select(F.col(key).alias("a"), "term", F.col("weight").alias("wa"))
-    right = weighted.select(F.col(key).alias("b"), F.col("term").alias("term_b"), F.col("weight").alias("wb"))
-    shared = pairs.select("a", "b").join(left, "a").join(right, (right["b"] == pairs["b"]) & (F.col("term") == F.col("term_b"))).groupBy("a", pairs["b"]).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    scored = pairs.join(shared, ["a", "b"], "left")
-    for side in "ab":
-        scored = scored.join(lengths.select(F.col(key).alias(side), F.col("norm").alias(f"norm_{side}")), side, "left")
-    size = F.col("norm_a") * F.col("norm_b")
-    return scored.withColumn("cosine", F.when(size > 0, F.coalesce("dot", F.lit(0.0)) / size).otherwise(0.0)).drop("dot", "norm_a", "norm_b")
+    """a, b, ord, rank: for each node the first most later nodes that share a term of fewer than max_df nodes, by the first shared term, then by ord
+    and key.
+
+    Frequent terms go before anything is collected.  Of a term's list each node needs its first most later members only, so a list of m nodes gives
+    at most m * most pairs."""
+    rare = found.groupBy("term").agg(F.count("*").alias("n")).where((F.col("n") < max_df) & (F.col("n") > 1)).select("term")
+    terms = found.select(key, "term", "term_idx").join(orders.select(key, "ord"), key).join(rare, "term")
+    lists = terms.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("ord", key, "term_idx"))).alias("all"))
+    later = lists.select("all", F.posexplode("all").alias("place", "at")).select("at", F.explode(F.slice("all", F.col("place") + 2, F.lit(most))).alias("other"))
+    ends = later.select(F.col(f"at.{key}").alias("a"), F.col("at.ord").alias("ord"), F.col(f"other.{key}").alias("b"), F.col("other.ord").alias("ord_b"), F.col("at.term_idx").alias("term_idx"))
+    pairs = ends.groupBy("a", "ord", "b", "ord_b").agg(F.min("term_idx").alias("first"))
+    w = Window.partitionBy("a").orderBy("first", "ord_b", "b")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("a", "b", "ord", "rank")
+
+
+def sparse_vectors(weighted: DataFrame, key: str = "node_id") -> DataFrame:
+    """key, terms (hashes, ascending), weights: a node's postings as one row."""
+    rows = F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("weight").alias("w"))))
+    return weighted.groupBy(key).agg(rows.alias("v")).select(key, F.transform("v", lambda x: x["t"]).alias("terms"), F.transform("v", lambda x: x["w"]).alias("weights"))
+
+
+def pair_cosine(pairs: DataFrame, weighted: DataFrame, key: str = "node_id") -> DataFrame:
+    """The pairs with cosine, 0 where they share no term. Each node's vector is one row, joined to both ends; products are summed over sorted arrays."""
+    v = sparse_vectors(weighted, key)
+    side = lambda x: v.select(F.col(key).alias(x), F.col("terms").alias(f"terms_{x}"), F.col("weights").alias(f"weights_{x}"))
+    names = pairs.columns
+    schema = pairs.withColumn("cosine", F.lit(0.0)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = []
+            for c in ("terms_a", "weights_a", "terms_b", "weights_b"):
+                x = batch.column(c)
+                arrays.append((x.offsets.to_numpy(), x.values.to_numpy(), np.asarray(x.is_valid())))
+            (ta, va, oka), (_, wa, _), (tb, vb, okb), (_, wb, _) = arrays
+            out = np.zeros(batch.num_rows)
+            for i in np.flatnonzero(oka & okb).tolist():
+                x, p, y, q = va[ta[i] : ta[i + 1]], wa[ta[i] : ta[i + 1]], vb[tb[i] : tb[i + 1]], wb[tb[i] : tb[i + 1]]
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                size = np.sqrt((p @ p) * (q @ q))
+                if size > 0:
+                    out[i] = (p * q[at] * (y[at] == x)).sum() / size
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out)], names=[*names, "cosine"])
+
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select(*names, "terms_a", "weights_a", "terms_b", "weights_b").mapInArrow(run, schema)
 
 
 def pair_jaccard(pairs: DataFrame, entities: DataFrame, key: str = "node_id") -> DataFrame:

@@ -29,12 +29,11 @@ sim AS (SELECT a, b, rank, CASE WHEN cosine >= 0.3 THEN 'similar-to' ELSE 'share
 
 def similarity_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """a, b, ord, rank, type, weight of the documents' similarity edges, before any cap."""
-    w, _, lengths = weighted(spark, folder)
-    w, lengths = settled(w), settled(lengths)
+    w = settled(weighted(spark, folder)[0])
     docs = documents(spark, folder)
     pairs = settled(edges.candidates(w.select("doc_id", "term", "term_idx"), docs.select("doc_id", "ord"), key="doc_id"))
     named = docs.select("doc_id", X.EXTRACTORS["names"](F.col("content")).alias("entities"))
-    scored = edges.pair_jaccard(edges.pair_cosine(pairs, w, lengths, "doc_id"), named, "doc_id")
+    scored = edges.pair_jaccard(edges.pair_cosine(pairs, w, "doc_id"), named, "doc_id")
     return edges.similarity(scored).withColumn("weight", F.round("weight", 6))
 
 
@@ -69,7 +68,7 @@ SELECT DISTINCT item_id AS src, doc_id AS dst FROM term JOIN documents ON contai
 def defines_substring(spark: SparkSession, folder: str) -> DataFrame:
     words = F.slice(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1), 1, 4)
     terms = table(spark, folder, "benchmark").select(F.col("item_id").alias("term_id"), F.array_join(words, " ").alias("term")).where("term != ''")
-    found = edges.contained(terms, documents(spark, folder), F.col("content"), "doc_id")
+    found = edges.contained(terms, documents(spark, folder), "doc_id")
     return found.select(F.col("term_id").alias("src"), F.col("doc_id").alias("dst"))
 
 
@@ -306,9 +305,7 @@ def discover_bridges(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def contradictions(spark: SparkSession, folder: str) -> DataFrame:
     """Invented prose denies little; tests have the cases."""
-    w, _, lengths = weighted(spark, folder)
-    rename = lambda df: df.withColumnRenamed("doc_id", "node_id")
-    return reflect.contradictions(_named(spark, folder), rename(w), rename(lengths))
+    return reflect.contradictions(_named(spark, folder), weighted(spark, folder)[0].withColumnRenamed("doc_id", "node_id"))
 
 
 @query("""WITH e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, 'supports' AS type, least(count(*) / 3, 1)::DOUBLE AS weight FROM lineitem GROUP BY ALL

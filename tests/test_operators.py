@@ -68,10 +68,10 @@ def test_greedy_cap_is_that_of_a_loop(spark):
 
 
 def test_contained_terms(spark):
-    terms = spark.createDataFrame([("t1", "red apple tree house"), ("t2", "cat"), ("t3", "apple tree")], "term_id string, term string")
-    texts = spark.createDataFrame([("n1", "A Red Apple Tree House here"), ("n2", "concatenate"), ("n3", "apple trees"), ("n4", None)], "node_id string, content string")
-    got = {(r.term_id, r.node_id) for r in edges.contained(terms, texts, F.col("content")).collect()}
-    assert got == {("t1", "n1"), ("t3", "n1"), ("t2", "n2"), ("t3", "n3")}
+    terms = spark.createDataFrame([("t1", "red apple tree house"), ("t2", "cat"), ("t3", "apple tree"), ("t4", "+-"), ("t5", "日本"), ("t6", "x"), ("t7", "")], "term_id string, term string")
+    texts = spark.createDataFrame([("n1", "A Red Apple Tree House here"), ("n2", "concatenate"), ("n3", "apple trees"), ("n4", None), ("n5", "1+-2 in 大日本国 of xx")], "node_id string, content string")
+    got = {(r.term_id, r.node_id) for r in edges.contained(terms, texts).collect()}
+    assert got == {("t1", "n1"), ("t3", "n1"), ("t2", "n2"), ("t3", "n3"), ("t4", "n5"), ("t5", "n5"), ("t6", "n5")}
 
 
 def test_label_propagation_of_two_cliques(spark):
@@ -95,7 +95,7 @@ def test_contradictions(spark):
     n = spark.createDataFrame([(i, i, t, ["Pluto Kuiper", "Solar Union"] if i < 2 else ["Other"]) for i, t in texts], "node_id long, ord long, content string, entities array<string>")
     words = index.postings(n)
     w = index.weights(words, index.idf(words, index.count_of(n)))
-    got = reflect.contradictions(n, w, index.norms(w)).collect()
+    got = reflect.contradictions(n, w).collect()
     assert [(r.a, r.b, r.shared) for r in got] == [(0, 1, 2)]
 
 
@@ -145,3 +145,21 @@ def test_nearest_of_equal_vectors(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0])], "question_id string, vec array<double>")
     assert [r.node_id for r in retrieve.nearest(v, q, 2).collect()] == [0, 1]
     assert pytest.approx(1.0) == retrieve.nearest(v, q, 1).first().score
+
+
+def test_rows_that_share_names(spark):
+    rng = random.Random(3)
+    rows = [(i, sorted({f"n{min(int(rng.expovariate(0.4)), 12)}" for _ in range(rng.randrange(0, 6))})) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, names array<string>")
+    got = {(r.x, r.y, r.shared) for r in reflect.sharing(df, df).collect()}
+    want = {(i, j, len(set(a) & set(b))) for i, a in rows for j, b in rows if i != j and len(set(a) & set(b)) >= 2}
+    assert got == want and want
+
+
+def test_new_contradictions(spark):
+    pad = " and that is what the report of the harbour board said about it in the autumn"
+    old = [("o1", "fact", "Mira Kovalenko works for the Delta Institute" + pad, ["Mira Kovalenko", "Delta Institute"]), ("o2", "fact", "Delta Institute stands" + pad, ["Delta Institute"])]
+    new = [("n1", "fact", "Mira Kovalenko no longer works for the Delta Institute" + pad, ["Mira Kovalenko", "delta institute"]), ("n2", "fact", "Mira Kovalenko of the Delta Institute" + pad, ["Mira Kovalenko", "Delta Institute"]), ("n3", "fact", "short, no longer", ["Mira Kovalenko", "Delta Institute"])]
+    schema = "node_id string, type string, content string, entities array<string>"
+    got = reflect.new_contradictions(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)).collect()
+    assert [tuple(r) for r in got] == [("n1", "o1", 2)]
