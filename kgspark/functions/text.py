@@ -285,3 +285,53 @@ CONFLICT_CUES = """_no_longer_ _not_the_ _not_a_ _not_an_ _never_was_ _was_never
 def conflicting(text: Column) -> Column:
     """Whether the text says that something is not, or no longer, so."""
     return let(normal(text), lambda norm: cued(norm, CONFLICT_CUES))
+
+
+def _units(text: Column) -> Column:
+    """The UTF-16 units as numbers."""
+    data = F.encode(text, "UTF-16BE")
+    return F.when(F.length(data) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(data), F.lit(1)), F.lit(2)), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(2))), 16, 10).cast("bigint")))
+
+
+def redacted(name: Column) -> Column:
+    """A short stable token for logs in place of a name: the 32-bit FNV-1a hash of its UTF-16 units in hexadecimal; zeros for null and empty."""
+    h = F.aggregate(_units(name), F.lit(0x811C9DC5).cast("bigint"), lambda h, u: F.pmod(h.bitwiseXOR(u) * F.lit(0x01000193), F.lit(1 << 32)))
+    return F.when(F.length(name) > 0, F.lpad(F.lower(F.hex(h)), 8, "0")).otherwise("00000000")
+
+
+#: Somebody demands, or says what they like.
+DEMAND_CUES = "_should_ _must_ _prefer_ _prefers_ _always_ _never_ _favourite_ _favorite_ _want_ _wants_ _please_".split()
+
+
+def correction_kind(text: Column) -> Column:
+    """What a correction is: definition, event, preference or fact, the first whose cues it has."""
+    told = lambda n: F.when(cued(n, lexicon.DEFINITION_CUES), "definition").when(text.rlike("[0-9]") & F.lower(text).rlike(DATES) | cued(n, lexicon.EVENT_CUES), "event").when(cued(n, DEMAND_CUES), "preference").otherwise("fact")
+    return F.when(text.isNotNull(), let(normal(text), told))
+
+
+def correction_kind_sql(text: str) -> str:
+    norm = rf"(' ' || regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g') || ' ')"
+    return f"CASE WHEN {text} IS NULL THEN NULL WHEN {cued_sql(norm, lexicon.DEFINITION_CUES)} THEN 'definition' WHEN regexp_matches(lower({text}), '{DATES}') OR {cued_sql(norm, lexicon.EVENT_CUES)} THEN 'event' WHEN {cued_sql(norm, DEMAND_CUES)} THEN 'preference' ELSE 'fact' END"
+
+
+def normal_date(text: Column) -> Column:
+    """A date like 2023/05/20 (Sat) or 2023-05-20T10:00:00 as 2023-05-20 (Sat); without a weekday where the first form has none; other texts as they are,
+    null as empty."""
+    slashed = r"^(\d{4})/(\d{2})/(\d{2})\s*(?:\(([A-Za-z]{3})\))?"
+    part = lambda k: F.regexp_extract(text, slashed, k)
+    day = F.when(part(4) != "", F.concat(F.lit(" ("), part(4), F.lit(")"))).otherwise("")
+    time = F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?Z?)?$"), text))
+    other = F.coalesce(F.date_format(time, "yyyy-MM-dd (EEE)"), text)
+    return F.when(text.isNull(), "").when(text.rlike(slashed), F.concat(F.concat_ws("-", part(1), part(2), part(3)), day)).otherwise(other)
+
+
+NUMBER_WORDS = dict(zip("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty".split(), [*range(21), 30, 40, 50]))
+
+
+def number(text: Column) -> Column:
+    """The first number of a text in digits, else the least of those it has as words, else null."""
+    digits = F.regexp_extract(text, LEFT + r"(\d+(?:\.\d+)?)" + RIGHT, 1)
+    words = F.expr("null").cast("double")
+    for word, value in reversed(NUMBER_WORDS.items()):
+        words = F.when(F.array_contains(F.split(F.lower(text), "[^a-z0-9_]+"), word), float(value)).otherwise(words)
+    return F.when(digits != "", digits.cast("double")).otherwise(words)

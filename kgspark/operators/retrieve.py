@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
@@ -11,15 +11,17 @@ SUMMARY, SUMMARY_BOOST, CHILD, SIBLING = "session-summary", 1.3, 0.5, 0.9
 LEAST_SIMILARITY, EMBEDDED_SEEDS, BLEND = 0.2, 16, 0.5
 
 
-def with_summaries(scores: DataFrame, types: DataFrame, prefer: bool | None) -> DataFrame:
-    """Summaries of sessions preferred (their scores raised), left out, or as they are (None). types: node_id, type."""
+def with_summaries(scores: DataFrame, types: DataFrame, prefer: bool | None | Column) -> DataFrame:
+    """Summaries of sessions preferred (their scores raised), left out, or as they are (None or null). types: node_id, type. prefer: of all rows, or a
+    column of the scores."""
     if prefer is None:
         return scores
-    known = scores.join(types.select("node_id", "type"), "node_id", "left")
-    is_summary = F.coalesce(F.col("type") == SUMMARY, F.lit(False))
-    if prefer:
-        return known.withColumn("score", F.when(is_summary, F.col("score") * SUMMARY_BOOST).otherwise(F.col("score"))).drop("type")
-    return known.where(~is_summary).drop("type")
+    wish = F.lit(prefer) if isinstance(prefer, bool) else prefer
+    summaries = types.where(F.col("type") == SUMMARY).select("node_id", F.lit(True).alias("__summary"))
+    known = scores.join(summaries, "node_id", "left").withColumn("__summary", F.coalesce("__summary", F.lit(False)))
+    kept = known.where(~F.col("__summary") | F.coalesce(wish, F.lit(True)))
+    raised = F.col("__summary") & F.coalesce(wish, F.lit(False))
+    return kept.withColumn("score", F.when(raised, F.col("score") * SUMMARY_BOOST).otherwise(F.col("score"))).select(scores.columns)
 
 
 def nearest(vectors: DataFrame, asked: DataFrame, k: int = EMBEDDED_SEEDS, least: float = LEAST_SIMILARITY, key: str = "node_id") -> DataFrame:
@@ -39,15 +41,17 @@ def merged(*pools: DataFrame) -> DataFrame:
     return out.groupBy("question_id", "node_id").agg(F.max("score").alias("score"))
 
 
-def diversified(seeds: DataFrame, cap: int, group: str = "file", tie: str = "ord") -> DataFrame:
-    """At most cap seeds of every question: where there are more, in rounds of one of each file, files by their best seed. seeds: question_id,
-    score, group, tie; a null group is one group of its own."""
+def diversified(seeds: DataFrame, cap: int | Column, group: str = "file", tie: str = "ord", mix: Column | None = None) -> DataFrame:
+    """At most cap seeds of every question: where there are more and mix holds (it does if it is not given), in rounds of one of each file, files by
+    their best seed; else the best. seeds: question_id, score, group, tie; a null group is one group of its own. cap and mix may be columns of them."""
+    most = F.lit(cap) if isinstance(cap, int) else cap
     q = Window.partitionBy("question_id")
     own = seeds.withColumn("g", F.coalesce(F.col(group), F.lit("__unknown__"))).withColumn("overall", F.row_number().over(q.orderBy(F.desc("score"), tie)))
     by_file = Window.partitionBy("question_id", "g")
     own = own.withColumn("round", F.row_number().over(by_file.orderBy("overall"))).withColumn("file_rank", F.min("overall").over(by_file)).withColumn("n", F.count("*").over(q))
-    mixed = q.orderBy(F.when(F.col("n") > cap, F.col("round")), F.when(F.col("n") > cap, F.col("file_rank")), "overall")
-    return own.withColumn("rank", F.row_number().over(mixed)).where(F.col("rank") <= cap).drop("g", "overall", "round", "file_rank", "n")
+    apart = (F.col("n") > most) & (F.lit(True) if mix is None else F.coalesce(mix, F.lit(True)))
+    mixed = q.orderBy(F.when(apart, F.col("round")), F.when(apart, F.col("file_rank")), "overall")
+    return own.withColumn("rank", F.row_number().over(mixed)).where(F.col("rank") <= most).drop("g", "overall", "round", "file_rank", "n")
 
 
 def blended(scores: DataFrame, vectors: DataFrame, asked: DataFrame, share: float = BLEND) -> DataFrame:
@@ -97,22 +101,49 @@ def federated(parts: list[tuple[DataFrame, DataFrame]], k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "graph_ord", "ord"))).drop("ord")
 
 
+CLAIMS, JOINT = 10, " || "
+
+
 def serialized(chosen: DataFrame, dedges: DataFrame, uedges: DataFrame) -> DataFrame:
-    """question_id, text: the subgraph as lines of nodes and edges under short names. chosen: question_id, rank, score, type, section, content,
-    node_id; edges: question_id beside their columns. Structural nodes and summaries take names, but no lines of their own."""
+    """question_id, text: the subgraph as lines: a head with counts, summaries of sessions with up to ten claims, nodes, directed and undirected edges
+    under short names. chosen: question_id, rank, score, type, section, content, node_id and, if there, metadata (sessionId, sessionDate, claims); edges:
+    question_id beside their columns. Documents and sections take names, but no lines."""
+    if "metadata" not in chosen.columns:
+        chosen = chosen.withColumn("metadata", F.create_map().cast("map<string,string>"))
+    meta = lambda k: F.element_at(F.col("metadata"), k)
     named = chosen.withColumn("name", F.concat(F.lit("n"), F.col("rank")))
-    tag = F.when(F.coalesce(F.col("section"), F.lit("")) != "", F.concat(F.lit("|src:"), F.col("section"))).otherwise("")
-    shown = named.where(~F.col("type").isin("document", "section", SUMMARY))
-    node_lines = shown.select("question_id", F.lit(1).alias("part"), F.col("rank").cast("long").alias("at"), F.concat(F.lit("["), F.col("name"), F.lit("|"), F.col("type"), F.lit("|"), F.format_string("%.2f", "score"), tag, F.lit("] "), F.col("content")).alias("line"))
+    tag = lambda mark, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"|{mark}:"), value)).otherwise("")
+    score = F.format_string("%.2f", F.round("score", 2))
+    line = lambda part, text, at=F.col("rank").cast("long"): ("question_id", F.lit(part).alias("part"), at.alias("at"), text.alias("line"))
+    said = F.slice(F.filter(F.transform(F.split(F.coalesce(meta("claims"), F.lit("")), r" \|\| "), F.trim), lambda c: c != ""), 1, CLAIMS)
+    claims = F.when(F.size(said) > 0, F.concat(F.lit("\n  claims: "), F.array_join(said, " | "))).otherwise("")
+    summary = F.concat(F.lit("["), "name", F.lit("|summary|"), score, tag("session", meta("sessionId")), tag("date", meta("sessionDate")), F.lit("] "), "content", claims)
+    fact = F.concat(F.lit("["), "name", F.lit("|"), "type", F.lit("|"), score, tag("src", F.col("section")), tag("date", meta("sessionDate")), F.lit("] "), "content")
+    lines = named.where(F.col("type") == SUMMARY).select(*line(1, summary)).unionByName(named.where(~F.col("type").isin("document", "section", SUMMARY)).select(*line(2, fact)))
     names = named.select("question_id", "node_id", "name")
     ends = lambda e, x, y: e.join(names.withColumnsRenamed({"node_id": x, "name": "from"}), ["question_id", x]).join(names.withColumnsRenamed({"node_id": y, "name": "to"}), ["question_id", y])
-    label = F.concat(F.lit("["), F.col("type"), F.lit(":"), F.format_string("%.1f", "weight"), F.lit("]"))
-    d = ends(dedges, "src", "dst").select("question_id", F.lit(2).alias("part"), F.col("ord").alias("at"), F.concat(F.col("from"), F.lit(" -"), label, F.lit("-> "), F.col("to")).alias("line"))
-    u = ends(uedges, "a", "b").select("question_id", F.lit(3).alias("part"), F.col("ord").alias("at"), F.concat(F.col("from"), F.lit(" ~"), label, F.lit("~ "), F.col("to")).alias("line"))
-    lines = node_lines.unionByName(d).unionByName(u)
-    heads = lines.select("question_id", "part").distinct().select("question_id", "part", F.lit(-1).cast("long").alias("at"), F.element_at(F.array(*map(F.lit, ("--- NODES ---", "--- DIRECTED ---", "--- UNDIRECTED ---"))), F.col("part")).alias("line"))
+    label = F.concat(F.lit("["), F.col("type"), F.lit(":"), F.format_string("%.1f", F.round("weight", 1)), F.lit("]"))
+    lines = lines.unionByName(ends(dedges, "src", "dst").select(*line(3, F.concat(F.col("from"), F.lit(" -"), label, F.lit("-> "), F.col("to")), F.col("ord"))))
+    lines = lines.unionByName(ends(uedges, "a", "b").select(*line(4, F.concat(F.col("from"), F.lit(" ~"), label, F.lit("~ "), F.col("to")), F.col("ord"))))
+    heads = F.element_at(F.array(*map(F.lit, ("--- SESSION SUMMARIES ---", "--- NODES ---", "--- DIRECTED ---", "--- UNDIRECTED ---"))), F.col("part"))
+    headed = lines.unionByName(lines.select("question_id", "part").distinct().select("question_id", "part", F.lit(-1).cast("long").alias("at"), heads.alias("line")))
+    n_edges = lines.groupBy("question_id").agg(F.count_if(F.col("part") > 2).alias("edges"))
+    total = chosen.groupBy("question_id").agg(F.count("*").alias("nodes")).join(n_edges, "question_id", "left")
+    top = total.select("question_id", F.lit(0).alias("part"), F.lit(-1).cast("long").alias("at"), F.concat(F.lit("=== SUBGRAPH OF "), "nodes", F.lit(" NODES AND "), F.coalesce("edges", F.lit(0)), F.lit(" EDGES ===")).alias("line"))
     ordered = F.array_sort(F.collect_list(F.struct("part", "at", "line")))
-    return lines.unionByName(heads).groupBy("question_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+    return headed.unionByName(top).groupBy("question_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+
+
+def insights(chosen: DataFrame, least: float = 0.1) -> DataFrame:
+    """question_id, insights: what enrichment made of the chosen nodes (metadata synthesis) of at least this score, line by line."""
+    own = chosen.withColumn("synthesis", F.element_at("metadata", "synthesis")).where((F.col("score") >= least) & F.col("synthesis").isNotNull())
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "synthesis"))), lambda x: F.concat(F.lit("- [n"), x["rank"], F.lit("] "), x["synthesis"]))
+    return own.groupBy("question_id").agg(F.concat(F.lit("--- INSIGHTS ---\n"), F.array_join(lines, "\n")).alias("insights"))
+
+
+def labels(nodes: DataFrame, chars: int = 60) -> DataFrame:
+    """node_id, type, label: nodes as pictures of a graph want them, contents cut to so many characters and dots."""
+    return nodes.select("node_id", "type", F.when(F.length("content") > chars, F.concat(F.substring("content", 1, chars), F.lit("..."))).otherwise(F.col("content")).alias("label"))
 
 
 def edge_view(dedges: DataFrame, uedges: DataFrame) -> DataFrame:

@@ -39,6 +39,8 @@ SIMILAR, SHARED = 0.3, 0.2
 MAX_DF, CANDIDATES, DEGREE = 500, 50, 10
 HOPS, DECAY, BACKWARD, TOP_NODES, SEEDS = 3, 0.6, 0.5, 20, 5
 CONFIDENCE = 0.9
+#: Bits of a node's ord that number it within its document.
+PLACE_BITS = 24
 
 
 @dataclass(frozen=True)

@@ -36,3 +36,18 @@ def accesses(events: DataFrame) -> DataFrame:
 def appending(nodes: DataFrame, append: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
     """A writer that gives each batch of a stream of nodes to append once for each id; started by the caller. The id makes a repeated batch known."""
     return nodes.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def retained(nodes: DataFrame, time: str, before: str, as_of: str) -> DataFrame:
+    """Retention as a stream's projection: content older than a time is given an end and little confidence as it passes. nodes: confidence, valid_until, time."""
+    old = F.col(time) < F.lit(before).cast("timestamp")
+    return nodes.withColumn("valid_until", F.when(old & F.col("valid_until").isNull(), F.lit(as_of).cast("timestamp")).otherwise(F.col("valid_until"))).withColumn("confidence", F.when(old, F.least("confidence", F.lit(0.1))).otherwise(F.col("confidence")))
+
+
+def on_schedule(nodes: DataFrame, change: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> DataStreamWriter:
+    """A writer that applies a change, such as decay, to what has come since the last run, and ends: a job for a scheduler."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        change(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return nodes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True)
