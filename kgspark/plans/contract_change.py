@@ -80,7 +80,7 @@ def _versions(spark: SparkSession, folder: str) -> DataFrame:
 SELECT old_id, arg_max(new_id, steps) AS final_id, max(steps)::BIGINT AS steps FROM walk GROUP BY old_id""")
 def supersede_chain(spark: SparkSession, folder: str) -> DataFrame:
     """Copies as versions: each is replaced by the next; where every chain ends."""
-    return maintain.chain_ends(_versions(spark, folder), most=1 << 20)
+    return maintain.chain_ends(_versions(spark, folder))
 
 
 @query(f"WITH {_CHAIN_SQL} SELECT doc_id AS node_id, CASE WHEN old_id IS NULL THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence FROM documents LEFT JOIN pair ON old_id = doc_id")
@@ -108,7 +108,8 @@ def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT md5(text) AS content_hash, count(*) AS copies, min(doc_id) AS canonical FROM documents GROUP BY text HAVING count(*) > 1")
 def dup_hash_groups(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").select(F.md5("text").alias("content_hash"), "doc_id")
-    return d.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("canonical")).where("copies > 1")
+    same = maintain.canonical(d, "doc_id", order="doc_id").join(d, "doc_id")
+    return same.groupBy("content_hash", "canonical").agg(F.count("*").alias("copies")).where("copies > 1")
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS canonical FROM documents")
@@ -166,9 +167,9 @@ def tumbling_counts(spark: SparkSession, folder: str) -> DataFrame:
     return stream.tumbling(table(spark, folder, "events"), "1 hour").withColumn("total", F.round("total", 4))
 
 
-@query("SELECT user_id, event_type, min(ts) AS first FROM events GROUP BY ALL")
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def dedup_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("first"))
+    return stream.first_seen(table(spark, folder, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
 
 
 ASKED = [

@@ -10,7 +10,7 @@ from ..functions import vectors
 from ..operators import community, edges, identity, index, maintain, reflect, report, retrieve, traverse
 from ..schema import BACKWARD, CANDIDATES, DECAY, DEGREE, HOPS, MAX_DF
 from ..shared import settled, table
-from .contract_text import POSTINGS_SQL, documents, weighted
+from .contract_text import _ASKED_SQL, POSTINGS_SQL, documents, questions, weighted
 from .registry import query
 
 _PAIRS_SQL = f"""{POSTINGS_SQL},
@@ -131,15 +131,16 @@ def trade_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     return d.withColumn("ord", F.struct("src", "dst")), u.withColumn("ord", F.struct(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-def _walk_sql(additive: bool = False) -> str:
+def _walk_sql(additive: bool = False, blocked: str = "false") -> str:
+    """blocked: a condition on f.q and a.type under which a way is not gone."""
     out = f"""{_GRAPH_SQL},
-adj AS (SELECT src, dst, weight, 0 AS class, 1.0::DOUBLE AS back, ord FROM dedge UNION ALL SELECT dst, src, weight, 1, {BACKWARD}::DOUBLE, ord FROM dedge
-UNION ALL SELECT a, b, weight, 2, 1.0::DOUBLE, ord FROM uedge UNION ALL SELECT b, a, weight, 2, 1.0::DOUBLE, ord FROM uedge),
+adj AS (SELECT src, dst, type, weight, 0 AS class, 1.0::DOUBLE AS back, ord FROM dedge UNION ALL SELECT dst, src, type, weight, 1, {BACKWARD}::DOUBLE, ord FROM dedge
+UNION ALL SELECT a, b, type, weight, 2, 1.0::DOUBLE, ord FROM uedge UNION ALL SELECT b, a, type, weight, 2, 1.0::DOUBLE, ord FROM uedge),
 f0 AS (SELECT r_name AS q, 'r' || r_regionkey AS node, 1.0::DOUBLE AS score, 1 AS place FROM region), s0 AS (SELECT q, node, score FROM f0), v0 AS (SELECT q, node FROM f0)"""
     fold = "sum" if additive else "max"
     for k in range(HOPS):
         out += f""",
-r{k} AS (SELECT f.q, a.dst AS node, f.score * {DECAY} * a.weight * a.back AS given, f.place, a.class, a.ord, coalesce(s.score, 0) AS had FROM f{k} f JOIN adj a ON a.src = f.node LEFT JOIN s{k} s ON s.q = f.q AND s.node = a.dst),
+r{k} AS (SELECT f.q, a.dst AS node, f.score * {DECAY} * a.weight * a.back AS given, f.place, a.class, a.ord, coalesce(s.score, 0) AS had FROM f{k} f JOIN adj a ON a.src = f.node AND NOT ({blocked}) LEFT JOIN s{k} s ON s.q = f.q AND s.node = a.dst),
 s{k + 1} AS (SELECT q, node, {fold}(score) AS score FROM (SELECT * FROM s{k} UNION ALL SELECT q, node, given FROM r{k}) GROUP BY ALL),
 n{k} AS (SELECT q, node, given{" + had" if additive else ""} AS score, place, class, ord FROM r{k} WHERE {"true" if additive else "given > had"} QUALIFY row_number() OVER (PARTITION BY q, node ORDER BY place, class, ord) = 1),
 f{k + 1} AS (SELECT q, node, score, row_number() OVER (PARTITION BY q ORDER BY place, class, ord) AS place FROM n{k} n WHERE NOT EXISTS (SELECT 1 FROM v{k} v WHERE v.q = n.q AND v.node = n.node)),
@@ -147,10 +148,10 @@ v{k + 1} AS (SELECT * FROM v{k} UNION ALL SELECT q, node FROM f{k + 1})"""
     return out
 
 
-def _walked(spark: SparkSession, folder: str, additive: bool = False) -> DataFrame:
+def _walked(spark: SparkSession, folder: str, additive: bool = False, everywhere: tuple[str, ...] = (), blocked: DataFrame | None = None) -> DataFrame:
     d, u = trade_graph(spark, folder)
     seeds = table(spark, folder, "region").select(F.col("r_name").alias("question_id"), F.concat(F.lit("r"), F.col("r_regionkey")).alias("node_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
-    return traverse.traverse(settled(traverse.adjacency(d, u)), seeds, additive=additive)
+    return traverse.traverse(settled(traverse.adjacency(d, u, everywhere)), seeds, additive=additive, blocked=blocked)
 
 
 @query(f"WITH {_walk_sql()} SELECT q AS question_id, node AS node_id, round(score, 6) AS score FROM s{HOPS}")
@@ -163,6 +164,18 @@ def bfs_additive(spark: SparkSession, folder: str) -> DataFrame:
     return _walked(spark, folder, True).withColumn("score", F.round(F.col("score") + 1e-9, 6))
 
 
+@query(f"""WITH {_walk_sql(blocked="a.type = 'sold'")} SELECT q AS question_id, node AS node_id, round(score, 6) AS score FROM s{HOPS}""")
+def bfs_blocked(spark: SparkSession, folder: str) -> DataFrame:
+    return _walked(spark, folder, everywhere=("sold",)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_walk_sql(blocked="a.type = 'sold' AND f.q <> 'ASIA' OR a.type = 'lives' AND f.q = 'AFRICA'")} SELECT q AS question_id, node AS node_id, round(score, 6) AS score FROM s{HOPS}""")
+def bfs_blocked_by_question(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "region").select(F.col("r_name").alias("question_id"))
+    blocked = names.where("question_id != 'ASIA'").withColumn("type", F.lit("sold")).unionByName(names.where("question_id = 'AFRICA'").withColumn("type", F.lit("lives")))
+    return _walked(spark, folder, blocked=blocked).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH RECURSIVE {_GRAPH_SQL}, way AS (SELECT dst AS src, src AS dst FROM dedge UNION ALL SELECT a, b FROM uedge),
 walk AS (SELECT 'r' || r_regionkey AS node, 0 AS hop FROM region WHERE r_name = (SELECT min(r_name) FROM region) UNION SELECT w.dst, hop + 1 FROM walk JOIN way w ON w.src = walk.node WHERE hop < 3)
 SELECT node AS node_id, min(hop) AS hop FROM walk GROUP BY node""")
@@ -188,9 +201,16 @@ def induced_subgraph(spark: SparkSession, folder: str) -> DataFrame:
     return traverse.induced(d, _chosen(spark, folder)).select("question_id", "src", "dst", "type", "weight")
 
 
-@query()
+_LINES_SQL = f"""{_TOP_SQL}, line AS (SELECT q, 2 AS part, rank AS place, '[n' || rank || '|fact|' || printf('%.2f', round(score, 2)) || '|src:' || left(node, 1) || '] ' || node AS line FROM chosen
+UNION ALL SELECT x.q, 3, row_number() OVER (PARTITION BY x.q ORDER BY d.src, d.dst), 'n' || x.rank || ' -[' || d.type || ':' || printf('%.1f', round(d.weight, 1)) || ']-> n' || y.rank FROM dedge d JOIN chosen x ON x.node = d.src JOIN chosen y ON y.node = d.dst AND y.q = x.q
+UNION ALL SELECT x.q, 4, row_number() OVER (PARTITION BY x.q ORDER BY u.a, u.b), 'n' || x.rank || ' ~[' || u.type || ':' || printf('%.1f', round(u.weight, 1)) || ']~ n' || y.rank FROM uedge u JOIN chosen x ON x.node = u.a JOIN chosen y ON y.node = u.b AND y.q = x.q),
+heads AS (SELECT DISTINCT q, part, -1 AS place, CASE part WHEN 2 THEN '--- NODES ---' WHEN 3 THEN '--- DIRECTED ---' ELSE '--- UNDIRECTED ---' END AS line FROM line),
+top AS (SELECT q, 0 AS part, -1 AS place, '=== SUBGRAPH OF ' || count(*) FILTER (part = 2) || ' NODES AND ' || count(*) FILTER (part > 2) || ' EDGES ===' AS line FROM line GROUP BY q)"""
+
+
+@query(f"WITH {_LINES_SQL} SELECT q AS question_id, string_agg(line, chr(10) ORDER BY part, place) AS text FROM (SELECT * FROM line UNION ALL SELECT * FROM heads UNION ALL SELECT * FROM top) GROUP BY q")
 def serialize_subgraph(spark: SparkSession, folder: str) -> DataFrame:
-    """The text of the best subgraph of every region; tests compare its lines."""
+    """The text of the best subgraph of every region."""
     chosen = _chosen(spark, folder).withColumns({"type": F.lit("fact"), "section": F.substring("node_id", 1, 1), "content": F.col("node_id")})
     d, u = trade_graph(spark, folder)
     w = Window.partitionBy("question_id").orderBy("ord")
@@ -215,12 +235,17 @@ def budget_prefix(spark: SparkSession, folder: str) -> DataFrame:
 _LANGS = ("de", "en", "es", "fr")
 
 
-@query(f"""WITH d AS (SELECT CASE lang {' '.join(f"WHEN '{x}' THEN {k}" for k, x in enumerate(_LANGS))} END AS graph_ord, doc_id, text, CASE WHEN doc_id % 3 = 0 THEN n_chars / 1000 ELSE 0 END AS score FROM documents),
+@query(f"""WITH {POSTINGS_SQL},\n{_ASKED_SQL}, d AS (SELECT CASE lang {' '.join(f"WHEN '{x}' THEN {k}" for k, x in enumerate(_LANGS))} END AS graph_ord, d.doc_id, text, coalesce(score, 0) AS score FROM documents d LEFT JOIN (SELECT doc_id, score FROM scored WHERE question_id = 'q2') s ON s.doc_id = d.doc_id),
 f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY text ORDER BY graph_ord, doc_id) = 1)
-SELECT graph_ord, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, graph_ord, doc_id) AS rank FROM f) WHERE rank <= 50""")
+SELECT graph_ord, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, graph_ord, doc_id) AS rank FROM f) WHERE rank <= 50""")
 def federated_topk(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("node_id"), F.col("doc_id").alias("ord"), F.sha2("text", 256).alias("content_hash"), "lang", (F.col("n_chars") / 1000).alias("score"))
-    parts = [(own := docs.where(F.col("lang") == x), own.where("node_id % 3 = 0").select("node_id", "score")) for x in _LANGS]
+    """A graph for each language, asked the same question; the seeds are all that share a word with it."""
+    w, inverse, lengths = weighted(spark, folder)
+    asked = index.question_weights(questions(spark).where("question_id = 'q2'"), inverse)
+    scores = index.cosines(asked, w, lengths, "doc_id").select(F.col("doc_id").alias("node_id"), F.round("score", 9).alias("score"))
+    docs = settled(table(spark, folder, "documents").select(F.col("doc_id").alias("node_id"), F.col("doc_id").alias("ord"), F.sha2("text", 256).alias("content_hash"), "lang"))
+    scores = settled(scores)
+    parts = [(own := docs.where(F.col("lang") == x), scores.join(own, "node_id", "left_semi")) for x in _LANGS]
     return retrieve.federated(parts, 50).select("graph_ord", F.col("node_id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -230,11 +255,15 @@ def label_propagation(spark: SparkSession, folder: str) -> DataFrame:
     return community.label_propagation(similarity_pairs(spark, folder).select("a", "b", "weight"))
 
 
-@query()
+@query(rf"""WITH {_EDGES_SQL},
+named AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '(\p{{Lu}}\p{{Ll}}+(?:[\s\-]\p{{Lu}}\p{{Ll}}+)+)', 1), lambda e: lower(e))) AS es FROM documents),
+pairs AS (SELECT t.term, unnest(n.es) AS synonym, s.weight FROM sim s JOIN (SELECT doc_id, unnest(es) AS term FROM named) t ON t.doc_id = s.a JOIN named n ON n.doc_id = s.b WHERE s.weight >= 0.4),
+swaps AS (SELECT term, synonym, round(sum(weight), 9) AS weight FROM pairs WHERE term <> synonym GROUP BY ALL)
+SELECT term, synonym, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY weight DESC, synonym) AS rank FROM swaps) WHERE rank <= 5 AND weight > 0.5""")
 def synonyms_top5(spark: SparkSession, folder: str) -> DataFrame:
-    """Entities that similar documents have in each other's place; tests compare it with a plain loop."""
+    """Entities that similar documents have in each other's place."""
     named = documents(spark, folder).select(F.col("doc_id").alias("node_id"), F.array_distinct(F.transform(X.EXTRACTORS["phrases"](F.col("content")), lambda e: F.lower(e))).alias("entities"))
-    return identity.synonyms(similarity_pairs(spark, folder), named)
+    return identity.synonyms(similarity_pairs(spark, folder), named).withColumn("rank", F.col("rank").cast("long"))
 
 
 # Reports over the documents as nodes and the trade graph
@@ -288,9 +317,9 @@ _RAW_NAMES_SQL = r"""raw AS (SELECT DISTINCT doc_id, source, e FROM (SELECT doc_
 WHERE i > 1 AND len(e) > 2 AND regexp_full_match(e, '\p{Lu}\p{Ll}+') AND e NOT IN (NOTNAMES))""".replace("NOTNAMES", ", ".join(f"'{w}'" for w in sorted(X.lexicon.NOT_NAMES)))
 
 
-@query(f"WITH {_RAW_NAMES_SQL} SELECT e AS entity, count(*) AS mentions, count(DISTINCT source) AS files, min(doc_id) AS first, max(doc_id) AS last FROM raw GROUP BY e HAVING count(*) >= 3 ORDER BY mentions DESC, entity LIMIT 100")
+@query(f"WITH {_RAW_NAMES_SQL} SELECT e AS entity, count(*) AS mentions, count(DISTINCT raw.source) AS files, min(doc_id) AS first, max(doc_id) AS last, list(text ORDER BY doc_id)[1:20] AS facts FROM raw JOIN documents USING (doc_id) GROUP BY e HAVING count(*) >= 3 ORDER BY mentions DESC, entity LIMIT 100")
 def entity_reports(spark: SparkSession, folder: str) -> DataFrame:
-    return report.entity_reports(_named(spark, folder)).drop("facts")
+    return report.entity_reports(_named(spark, folder))
 
 
 @query(f"""WITH {_RAW_NAMES_SQL}, low AS (SELECT DISTINCT doc_id, source, lower(e) AS e FROM raw)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions import text as X
-from ..operators import edges, identity, index
+from ..operators import edges, identity, index, retrieve
 from ..shared import settled, spread, table
 from ..sources import conversation, html, tabular
 from .registry import query
@@ -284,9 +284,11 @@ def conversation_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_SECTIONS_SQL} SELECT a.conv_id, a.i AS answer, u.i AS said FROM sec a JOIN sec u ON a.conv_id = u.conv_id AND replace(a.title, 'Assistant', 'User') = u.title WHERE a.title LIKE 'Assistant%'")
 def sibling_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    s = conversation.sections(_turns(spark, folder), "conv_id", "turn", "text").withColumn("turn", F.regexp_extract("title", r"\(turn ([0-9]+)\)", 1)).withColumn("user", F.col("title").startswith("User"))
-    a, u = s.where("not user").select("conv_id", "turn", F.col("sec_ord").alias("answer")), s.where("user").select("conv_id", "turn", F.col("sec_ord").alias("said"))
-    return a.join(u, ["conv_id", "turn"]).drop("turn")
+    s = conversation.sections(_turns(spark, folder), "conv_id", "turn", "text").select(F.concat_ws("-", "conv_id", "sec_ord").alias("node_id"), F.col("conv_id").cast("string").alias("file"), F.col("title").alias("section"))
+    # each answer is a question of its own, so that what comes with it is known
+    chosen = s.where("section like 'Assistant%'").select(F.col("node_id").alias("question_id"), "node_id", F.lit(1.0).alias("score"))
+    part = lambda c, k: F.split_part(F.col(c), F.lit("-"), F.lit(k)).cast("long")
+    return retrieve.siblings(chosen, s).select(part("question_id", 1).alias("conv_id"), part("question_id", 2).alias("answer"), part("node_id", 2).alias("said"))
 
 
 @query("""SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS user_messages, sum(len(text))::BIGINT AS chars,
@@ -301,9 +303,13 @@ def sessions_summary_rollup(spark: SparkSession, folder: str) -> DataFrame:
 c AS (SELECT role, term, count(*) AS n FROM t WHERE len(term) > 1 AND term NOT IN ({STOP_SQL}) GROUP BY ALL)
 SELECT role, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY n DESC, term) AS rank FROM c) WHERE rank <= 20""")
 def role_profile_topk(spark: SparkSession, folder: str) -> DataFrame:
-    words = _turns(spark, folder).select("role", F.explode(X.tokens_fold(F.col("text"))).alias("term")).groupBy("role", "term").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("role").orderBy(F.desc("n"), "term")
-    return words.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 20")
+    t = _turns(spark, folder).select("role", X.tokens_fold(F.col("text")).alias("entities"))
+    out = None
+    for role in [r.role for r in t.select("role").distinct().orderBy("role").collect()]:
+        own = identity.user_profile(t.where(F.col("role") == role).withColumn("role", F.lit("user")), 20)
+        own = own.select(F.lit(role).alias("role"), F.posexplode("counts").alias("rank", "term", "n")).select("role", "term", "n", (F.col("rank") + 1).cast("long").alias("rank"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 _ROW = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]

@@ -38,7 +38,7 @@ def verdict(reply: Column) -> Column:
 
 def node_types(chosen: DataFrame, types: list[str]) -> DataFrame:
     """question_id, and for each type how many of the question's nodes are of it. chosen: question_id, type."""
-    return chosen.groupBy("question_id").pivot("type", types).agg(F.count("*")).na.fill(0)
+    return chosen.groupBy("question_id").pivot("type", types).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def count_errors(results: DataFrame) -> DataFrame:
