@@ -14,6 +14,10 @@ from ..schema import CANDIDATES, DEGREE, MAX_DF, SHARED, SIMILAR, STRUCTURAL
 from ..shared import settled
 
 
+#: Entries of vectors or sets (some 16 bytes each) that are sent to the pairs; beyond, both are exchanged.
+VECTOR_TERMS = 2_000_000
+
+
 def precedes(nodes: DataFrame, group: list[str], order: list[str], key: str = "node_id") -> DataFrame:
     """src, dst: each node after the one before it in its group."""
     w = Window.partitionBy(*group).orderBy(*order)
@@ -97,9 +101,13 @@ def candidates(found: DataFrame, orders: DataFrame, max_df: int = MAX_DF, most:
     at most m * most pairs."""
     rare = found.groupBy("term").agg(F.count("*").alias("n")).where((F.col("n") < max_df) & (F.col("n") > 1)).select("term")
     terms = found.select(key, "term", "term_idx").join(orders.select(key, "ord"), key).join(rare, "term")
-    lists = terms.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("ord", key, "term_idx"))).alias("all"))
-    later = lists.select("all", F.posexplode("all").alias("place", "at")).select("at", F.explode(F.slice("all", F.col("place") + 2, F.lit(most))).alias("other"))
-    ends = later.select(F.col(f"at.{key}").alias("a"), F.col("at.ord").alias("ord"), F.col(f"other.{key}").alias("b"), F.col("other.ord").alias("ord_b"), F.col("at.term_idx").alias("term_idx"))
+    lists = settled(terms.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("ord", key, "term_idx"))).alias("all")))
+    places = lists.select("term", F.size("all").alias("n"), F.posexplode("all").alias("place", "at")).select("term", "place", F.col(f"at.{key}").alias("a"), F.col("at.ord").alias("ord"), F.col("at.term_idx").alias("term_idx"), (F.col("n") - F.col("place") - 1).alias("behind"))
+    # a term that has enough later members fills a node's places: its terms behind that one are not looked at
+    last = places.where(F.col("behind") >= most).groupBy("a").agg(F.min("term_idx").alias("last"))
+    kept = places.where("behind > 0").join(last, "a", "left").where("last is null or term_idx <= last")
+    ends = kept.join(lists, "term").select("a", "ord", "term_idx", F.explode(F.slice("all", F.col("place") + 2, F.lit(most))).alias("other"))
+    ends = ends.select("a", "ord", F.col(f"other.{key}").alias("b"), F.col("other.ord").alias("ord_b"), "term_idx")
     pairs = ends.groupBy("a", "ord", "b", "ord_b").agg(F.min("term_idx").alias("first"))
     w = Window.partitionBy("a").orderBy("first", "ord_b", "b")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("a", "b", "ord", "rank")
@@ -114,6 +122,7 @@ def sparse_vectors(weighted: DataFrame, key: str = "node_id") -> DataFrame:
 def pair_cosine(pairs: DataFrame, weighted: DataFrame, key: str = "node_id") -> DataFrame:
     """The pairs with cosine, 0 where they share no term. Each node's vector is one row, joined to both ends; products are summed over sorted arrays."""
     v = sparse_vectors(weighted, key)
+    v = F.broadcast(v) if weighted.count() <= VECTOR_TERMS else v
     side = lambda x: v.select(F.col(key).alias(x), F.col("terms").alias(f"terms_{x}"), F.col("weights").alias(f"weights_{x}"))
     names = pairs.columns
     schema = pairs.withColumn("cosine", F.lit(0.0)).schema
@@ -140,6 +149,8 @@ def pair_cosine(pairs: DataFrame, weighted: DataFrame, key: str = "node_id") ->
 def pair_jaccard(pairs: DataFrame, entities: DataFrame, key: str = "node_id") -> DataFrame:
     """The pairs with jaccard of their entities, folded. entities: key, entities."""
     sets = entities.select(key, F.array_distinct(F.transform("entities", folded)).alias("own"))
+    total = entities.agg(F.sum(F.size("entities") + 1)).first()[0] or 0
+    sets = F.broadcast(sets) if total <= VECTOR_TERMS else sets
     for side in "ab":
         pairs = pairs.join(sets.select(F.col(key).alias(side), F.col("own").alias(f"own_{side}")), side, "left")
     both = F.size(F.array_intersect("own_a", "own_b"))

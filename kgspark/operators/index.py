@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens_fold
+from ..shared import parted
 
 
 def postings(nodes: DataFrame, analyzer: Callable[[Column], Column] = tokens_fold, key: str = "node_id", text: str = "content") -> DataFrame:
     """key, term, freq, term_idx (rank of the first occurrence among the node's terms) and tf (frequency by the node's largest).
 
     One exchange of the nodes, by key; what follows keeps that partitioning.  Nodes without terms have no rows."""
-    placed = nodes.select(key, text).repartition(key)
+    placed = parted(nodes.select(key, text), key)
     words = placed.select(key, F.posexplode(analyzer(F.col(text))).alias("pos", "term"))
     own = words.groupBy(key, "term").agg(F.count("*").alias("freq"), F.min("pos").alias("pos"))
     w = Window.partitionBy(key)

@@ -512,7 +512,7 @@ def _turns(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH t AS (SELECT conv_id AS session, turn, role, text FROM conversations), u AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn) AS k FROM t WHERE role = 'user' AND trim(text, ' ') <> ''),
 f AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn) AS k FROM t WHERE trim(text, ' ') <> ''),
-e AS (SELECT conv_id AS session, w, count(*) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY count(*) DESC, w) AS k FROM (SELECT conv_id, unnest({_LONG}) AS w FROM conversations) GROUP BY ALL),
+e AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC, w) AS k FROM (SELECT conv_id AS session, w, count(*) AS n FROM (SELECT conv_id, unnest({_LONG}) AS w FROM conversations) GROUP BY conv_id, w)),
 c AS (SELECT session, string_agg(text[1:160], ' ' ORDER BY k) FILTER (k <= 3) AS c, string_agg(text[1:200], ' || ' ORDER BY k) FILTER (k <= 10) AS claims FROM u GROUP BY session),
 g AS (SELECT session, string_agg(w, ',' ORDER BY k) AS es FROM e WHERE k <= 20 GROUP BY session)
 SELECT s.session, coalesce(c, f.text[1:160], '') AS content, coalesce(es, '') AS entities, coalesce(claims, '') AS claims, s.turns

@@ -39,6 +39,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def parted(df: DataFrame, *keys: str) -> DataFrame:
+    """Exchanged by keys that the next step needs together anyway, into as many parts as there are cores at least: small rows may be much work."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """A table of few splits (a small file may be one) is spread over all cores by its keys; one of many stays as it is, without an exchange."""
     cores = df.sparkSession.sparkContext.defaultParallelism
