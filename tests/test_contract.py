@@ -6,7 +6,7 @@ import os
 
 import duckdb
 import pytest
-from kgspark.plans import contract_change, contract_graph, contract_text  # noqa: F401
+from kgspark.plans import contract_change, contract_graph, contract_more, contract_text  # noqa: F401
 from kgspark.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
