@@ -123,3 +123,54 @@ def test_row_that_stays_among_equal_ids_and_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, note string")
     for k in (1, 3):
         assert [tuple(r) for r in op.keep_one(docs.repartition(k)).collect()] == [(1, "some words of a text", "a")]
+
+
+def missed_by_bands(rng, n=12):
+    """Texts in pairs of which bands of so many texts link none, though each is within the radius."""
+    at = op._positions(*op.plan_bands(2 * n))
+    rows = []
+    while len(rows) < 2 * n:
+        words = prose(rng, 120).split()
+        other = words.copy()
+        for _ in range(rng.randrange(8, 40)):
+            other[rng.randrange(len(other))] = prose(rng, 1) + "x"
+        pair = [" ".join(words), " ".join(other)]
+        fp, _ = op.fingerprints(pair)
+        keys = op.band_keys(fp, at)
+        if bktree.distance(fp[0], fp[1]) <= op.RADIUS and not (keys[0] == keys[1]).any():
+            rows += [(len(rows) + k, t) for k, t in enumerate(pair)]
+    return rows
+
+
+def test_links_that_bands_miss(table, rng):
+    rows = missed_by_bands(rng)
+    rows += [(100 + i, t) for i, t in corpus(rng, 20)]
+    label = groups(rows)
+    want = {(rows[i][0], rows[r][0]) for i, r in enumerate(label) if r != i}
+    assert {(k + 1, k) for k in range(0, 24, 2)} <= want
+    assert {(r.doc_id, r.duplicate_of) for r in op.removed(table(rows)).collect()} == want
+
+
+def test_links_over_several_blocks(table, rng, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK", 10)
+    rows = missed_by_bands(rng)
+    want = {(k + 1, k) for k in range(0, 24, 2)}
+    assert {(r.doc_id, r.duplicate_of) for r in op.removed(table(rows)).collect()} == want
+
+
+def test_exact_search_finds_what_comparing_finds(monkeypatch):
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 1 << 63, (300, 4)).astype(np.uint64)
+    fps = np.concatenate([fps, *(flipped(rng, fps[:100], k) for k in (38, 40, 41)), flipped(rng, np.repeat(fps[:1], 200, axis=0), 12)])
+    label = np.arange(len(fps)) * 7
+    label[600:] = label[0]  # a family that is one component already
+    for full in (op.FULL, 3):
+        monkeypatch.setattr(op, "FULL", full)
+        for n, radius in ((800, 40), (200_000, 40), (10**6, 40), (800, 0), (800, 5), (10**6, 5), (800, 90)):
+            parts = op.plan_parts(n, radius)
+            assert sum(max(m.bit_count() for m in masks.tolist()) + 1 for _, masks in parts) == radius + 1
+            near = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2) <= radius
+            want = {(label[i], label[j]) for i, j in zip(*np.nonzero(near)) if label[i] < label[j]}
+            assert set(map(tuple, op.across(fps, label, None, None, parts, radius).tolist())) == want
+            want = {tuple(sorted((label[i], label[350 + j]))) for i, j in zip(*np.nonzero(near[:350, 350:])) if label[i] != label[350 + j]}
+            assert set(map(tuple, op.across(fps[:350], label[:350], fps[350:], label[350:], parts, radius).tolist())) == want
