@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .conftest import prose
 from .test_op7_decontaminate import brute as spans_of
-from .test_op9_simhash import groups
+from .test_op9_simhash import groups, missed_by_bands
 from .test_op10_toxicity import corpus
 
 
@@ -79,3 +79,12 @@ def test_run_of_odd_rows(spark, odd, tmp_path):
     ids = {(r.doc_id, r.text and r.text[:8]) for r in out.collect()}
     rows = {(r.doc_id, r.text and r.text[:8]) for r in odd.collect()}
     assert ids <= rows and len(ids) >= 6
+
+
+def test_near_copies_that_bands_miss(spark, table, rng, tmp_path):
+    docs = table(missed_by_bands(rng))
+    tables(spark, tmp_path, docs, [], [])
+    first = set(range(0, 24, 2))
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()} == first
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got and got <= first
