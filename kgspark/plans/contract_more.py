@@ -10,7 +10,7 @@ from ..functions import embed
 from ..functions import text as X
 from ..operators import audit, correct, edges, identity, index, maintain, reflect, report, retrieve, summaries, traverse
 from ..schema import CONFIDENCE, Graph
-from ..shared import settled, shared_folder, table
+from ..shared import parts_of, settled, shared_folder, table
 from ..sources import conversation, files, markdown, media, subtitles
 from ..streaming import stream
 from . import build, evaluate, prompts, questions, store
@@ -671,6 +671,7 @@ def inference_cap(spark: SparkSession, folder: str) -> DataFrame:
     """The first hundred by place: the cap is the operator's."""
     l = table(spark, folder, "lineitem")  # noqa: E741
     name = lambda k, c: F.concat(F.lit(k), F.col(c))
-    one = l.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n")).select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst"), F.lit("supports").alias("type"), F.least(F.col("n") / 3, F.lit(1.0)).alias("weight"), F.struct(name("p", "l_partkey").alias("a"), name("s", "l_suppkey").alias("b")).alias("ord"))
-    two = l.select("l_partkey", "l_orderkey").distinct().select(name("p", "l_partkey").alias("src"), name("o", "l_orderkey").alias("dst"), F.lit("supports").alias("type"), F.lit(0.6).alias("weight"), F.struct(name("o", "l_orderkey").alias("a"), name("p", "l_partkey").alias("b")).alias("ord"))
+    parts = parts_of(l)
+    one = l.select("l_suppkey", "l_partkey").repartition(parts, "l_suppkey", "l_partkey").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n")).select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst"), F.lit("supports").alias("type"), F.least(F.col("n") / 3, F.lit(1.0)).alias("weight"), F.struct(name("p", "l_partkey").alias("a"), name("s", "l_suppkey").alias("b")).alias("ord"))
+    two = l.select("l_partkey", "l_orderkey").repartition(parts, "l_partkey", "l_orderkey").distinct().select(name("p", "l_partkey").alias("src"), name("o", "l_orderkey").alias("dst"), F.lit("supports").alias("type"), F.lit(0.6).alias("weight"), F.struct(name("o", "l_orderkey").alias("a"), name("p", "l_partkey").alias("b")).alias("ord"))
     return reflect.inferred(one.unionByName(two)).select("src", "dst", F.round("weight", 6).alias("weight"))
